@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm.runtime import table
+from strataline.llm.mixing import measured, mix
+from strataline.llm.runtime import durable, table
 from strataline.llm.topk import exact_topk
+from strataline.llm.urlfilter import declared_links, filter_urls
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,27 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = durable(measured(docs).select("doc_id", "__key", "__size", "__hash"), "mix-rows")
+    mixed = mix(rows, weights=(1, 2, 3), most=3)
+    return mixed.select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"), "copies")
+
+
+#: The rules of op9's contract, as action, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return filter_urls(pages, rules, declared_links(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op5_mix_sources": op5_mix_sources,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +54,45 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_url_filter": r"""
+        WITH RECURSIVE rules(action, rhost, rpath) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                   ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        tags AS (
+            SELECT url, unnest(list_concat(
+                list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+                    lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+                list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+                    lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS goal
+            FROM pages WHERE contains(url, '://')),
+        edges AS (
+            SELECT DISTINCT regexp_replace(url, '#.*$', '') AS a,
+                   regexp_replace(CASE
+                       WHEN contains(goal, '://') THEN goal
+                       WHEN starts_with(goal, '//') THEN split_part(url, '://', 1) || ':' || goal
+                       WHEN starts_with(goal, '/') THEN regexp_extract(url, '^.*?://[^/?#]*') || goal
+                       ELSE regexp_extract(url, '^.*?://[^/?#]*')
+                            || coalesce(nullif(regexp_extract(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '^.*/'), ''), '/') || goal
+                   END, '#.*$', '') AS b
+            FROM tags WHERE goal <> ''),
+        addresses AS (SELECT url AS u FROM pages UNION SELECT a FROM edges UNION SELECT b FROM edges),
+        parts AS (
+            SELECT u, CASE WHEN instr(u, '://') > 0 THEN substring(u, instr(u, '://') + 3) ELSE '' END AS rest FROM addresses),
+        hosts AS (
+            SELECT u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(substring(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts),
+        fits AS (
+            SELECT u, action, rhost || rpath AS rule,
+                   row_number() OVER (PARTITION BY u ORDER BY length(rhost || rpath) DESC, action) AS nth
+            FROM hosts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+        judged AS (
+            SELECT hosts.u, host, path, rule, action, regexp_replace(hosts.u, '#.*$', '') AS addr
+            FROM hosts LEFT JOIN fits ON hosts.u = fits.u AND nth = 1),
+        linked AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        spread(node) AS (
+            SELECT addr FROM judged WHERE action = 'block' AND addr IN (SELECT a FROM linked) AND u = addr
+            UNION SELECT b FROM spread JOIN linked ON node = a)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+               coalesce(action, CASE WHEN addr IN (SELECT node FROM spread) THEN 'block' END, 'allow') AS verdict
+        FROM pages LEFT JOIN judged ON pages.url = judged.u""",
 }
