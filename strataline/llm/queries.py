@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.llm import toxicity
 from strataline.llm.chat import format_chats, read_back
 from strataline.llm.mixing import measured, mix
 from strataline.llm.runtime import durable, table
@@ -36,6 +37,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(durable(format_chats(turns.unionByName(planted), path), "chat"), path)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), folds=5, fold=0)
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "score", predicted, "offending")
+
+
 #: The rules of op9's contract, as action, host, path.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
@@ -50,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 
