@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataline.llm import toxicity
+from strataline.llm import quality, toxicity
 from strataline.llm.chat import format_chats, read_back
 from strataline.llm.mixing import measured, mix
 from strataline.llm.runtime import durable, table
@@ -20,6 +20,11 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20, scale=64.0)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), folds=3, fold=1)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     rows = durable(measured(docs).select("doc_id", "__key", "__size", "__hash"), "mix-rows")
@@ -57,6 +62,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_quality": op2_quality,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
     "op8_toxicity": op8_toxicity,
