@@ -5,8 +5,8 @@ punctuation at its ends) has a fixed sparse random index vector, and its context
 vector is the sum of its neighbours' index vectors over the whole corpus.  Tokens
 share ``SLOTS`` hashed slots, so that the table has one size for any corpus; each
 task adds up its own part and slices of the table are summed in parallel.  A
-second pass pools the vectors of a document: their mean, their mean square, and
-its length.  A two-layer network learns labels from a bounded sample of labelled
+second pass pools the vectors of a document: their mean, their mean square, the
+mean product of neighbours (which tells text from repetition), and its length.  A two-layer network learns labels from a bounded sample of labelled
 rows (``SAMPLE``, in hash order), a fifth of which sets the temperature of its
 probabilities.
 
@@ -38,7 +38,7 @@ SAMPLE, HIDDEN, EPOCHS, BATCH, RATE = 12_000, 32, 40, 256, 0.01
 CHUNK = 1 << 20
 
 _EDGES = re.compile(rb"^([!-/:-@\[-`{-~]*)(.*?)([!-/:-@\[-`{-~]*)$", re.S)
-_FEATURES = 2 * DIM + 1
+_FEATURES = 3 * DIM + 1
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +132,17 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pool(slots: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and mean square of the tokens' vectors, and the logarithm of their number."""
+    """Mean, mean square and mean product of neighbours of the tokens' vectors, and the logarithm of their number."""
     out = np.zeros(_FEATURES)
     if len(slots):
         kinds, n = np.unique(slots, return_counts=True)
         share = n / len(slots)
         own = vectors[kinds]
         out[:DIM], out[DIM : 2 * DIM], out[-1] = share @ own, share @ (own * own), np.log1p(len(slots))
+        for k in range(0, len(slots) - 1, 1 << 16):
+            near = slots[k : k + (1 << 16) + 1]
+            out[2 * DIM : -1] += np.einsum("ij,ij->j", vectors[near[:-1]], vectors[near[1:]])
+        out[2 * DIM : -1] /= max(1, len(slots) - 1)
     return out.astype(np.float32)
 
 
