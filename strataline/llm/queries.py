@@ -11,6 +11,7 @@ from strataline.llm import quality, tokens, toxicity
 from strataline.llm.chat import format_chats, read_back
 from strataline.llm.mixing import measured, mix
 from strataline.llm.runtime import durable, table
+from strataline.llm.substring import remove_repeats
 from strataline.llm.topk import exact_topk
 from strataline.llm.urlfilter import declared_links, filter_urls
 
@@ -51,6 +52,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(durable(format_chats(turns.unionByName(planted), _byte_bpe()), "chat"), _byte_bpe())
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, window=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), folds=5, fold=0)
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_output": op4_token_output,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
@@ -105,6 +112,25 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(12 + length(role) + 1 + length(escaped) + 10 + 1) AS BIGINT) AS formatted_chars
         FROM marked GROUP BY conv_id""",
+    "op7_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        s AS (
+            SELECT doc_id, p, array_to_string(words[p : p + 49], ' ') AS win
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS p FROM w WHERE len(words) >= 50)),
+        f AS (SELECT win, min(doc_id) AS first FROM s GROUP BY win HAVING min(doc_id) <> max(doc_id)),
+        g AS (SELECT doc_id, list(p ORDER BY p) AS starts FROM s JOIN f USING (win) WHERE doc_id > first GROUP BY doc_id),
+        i AS (
+            SELECT doc_id, x, max(x + 50) OVER (PARTITION BY doc_id ORDER BY x) AS reach FROM (SELECT doc_id, unnest(starts) AS x FROM g)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(x, x + 50)) AS x FROM i),
+        cut AS (SELECT doc_id, list(x) AS xs FROM gone GROUP BY doc_id),
+        kept AS (
+            SELECT w.doc_id, words, coalesce(len(xs), 0) AS n,
+                   CASE WHEN xs IS NULL THEN words
+                        ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda z: NOT list_contains(xs, z[2])), lambda z: z[1]) END AS k
+            FROM w LEFT JOIN cut ON w.doc_id = cut.doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed,
+               sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
     "op9_url_filter": r"""
         WITH RECURSIVE rules(action, rhost, rpath) AS (
             VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
