@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataline.llm import quality, tokens, toxicity
 from strataline.llm.chat import format_chats, read_back
 from strataline.llm.mixing import measured, mix
+from strataline.llm.ngramjoin import ngram_components
 from strataline.llm.runtime import durable, table
 from strataline.llm.substring import remove_repeats
 from strataline.llm.topk import exact_topk
@@ -75,6 +76,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, rules, declared_links(pages))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_quality": op2_quality,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
