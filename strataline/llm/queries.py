@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm import quality, tokens, toxicity
 from strataline.llm.chat import format_chats, read_back
+from strataline.llm.decontam import find_passages
 from strataline.llm.mixing import measured, mix
 from strataline.llm.ngramjoin import ngram_components
 from strataline.llm.runtime import durable, table
@@ -27,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"), folds=3, fold=1)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def _byte_bpe() -> str:
     import public_tokenizers
 
@@ -83,6 +88,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_quality": op2_quality,
+    "op3_decontamination": op3_decontamination,
     "op4_token_output": op4_token_output,
     "op5_mix_sources": op5_mix_sources,
     "op6_chat_format": op6_chat_format,
