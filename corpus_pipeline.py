@@ -1,20 +1,70 @@
-"""The training-data pipeline: stages over documents, each written and reread as the next one's input."""
+"""The training-data pipeline: stages over documents, each written and reread as the next one's input.
+
+Toxic documents go, one document of each group of near duplicates stays (the one
+with the smallest doc_id), documents that hold a benchmark item go, sources are
+mixed to target weights (documents repeated or left out), and what remains is
+written as token ids, of which the last stage returns a digest per document.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strataline.llm import toxicity
+from strataline.llm.decontam import remove_contaminated
+from strataline.llm.mixing import mix_documents
+from strataline.llm.ngramjoin import ngram_components
+from strataline.llm.queries import byte_bpe
 from strataline.llm.runtime import durable, table
+from strataline.llm.tokens import read_digests, tokenise
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Learns from all labelled rows of the input; documents scored 0.5 or more go."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), folds=None)
+    return toxicity.reject_toxic(docs, model)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents, the row with the smallest doc_id stays (of rows repeating it, one)."""
+    found = ngram_components(docs.select("doc_id", "text"))
+    gone = durable(found.filter("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    again = durable(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-again")
+    if again.isEmpty():
+        return kept
+    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def remove_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs, weights=(1, 2, 3), most=3)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    stored, _ = tokenise(docs, byte_bpe(), end=0, label="pipeline-tokens")
+    return read_digests(stored)
+
 
 #: (name, function(spark, docs, sf_dir) -> DataFrame), in order.
-STAGES: list = []
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_join", keep_one_of_near_duplicates),
+    ("decontamination", remove_benchmark_documents),
+    ("mixing", mix_sources),
+    ("token_output", write_token_ids),
+]
 
-#: The stages that learn, embed or write files have no SQL; tests hold each against a brute-force version.
+#: The stages learn, embed and write files, for which there is no SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -102,9 +102,11 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS) -> dict:
     return {"bias": float(b), "features": {f: float(w[i]) for f, i in vocab.items()}}
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> dict:
-    """Model from the labelled rows whose crc32(doc_id) mod ``folds`` is not ``fold``."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & (held_out("doc_id", folds, fold) == F.lit(False)))
+def learn(docs: DataFrame, labels: DataFrame, folds: int | None = 5, fold: int = 0) -> dict:
+    """Model from the labelled rows whose crc32(doc_id) mod ``folds`` is not ``fold``; from all, if folds is None."""
+    known = labels.filter(F.col("toxic").isin(0, 1))
+    if folds:
+        known = known.filter(~held_out("doc_id", folds, fold))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     short = docs.select("doc_id", "text").filter(F.length("text") < 20 * SAMPLE_WORDS)
     picked = lambda y: known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
