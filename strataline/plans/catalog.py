@@ -1,10 +1,514 @@
-"""Catalogue of the engine's queries, and the SQL each must agree with."""
+"""Catalogue of the engine's queries over the driver's tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strataline.functions import text as T
+from strataline.operators import contract, detect, folds, media, notes, refresh, threads
+from strataline.plans.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[run.__name__] = run
+    return run
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _title(doc_id: str = "doc_id"):
+    return F.concat(F.lit("Document "), F.col(doc_id).cast("string"))
+
+
+@query
+def q01_words_per_doc(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("words"))
+
+
+@query
+def q02_est_tokens_per_doc(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.est_tokens(T.word_count(F.col("text"))).alias("est_tokens"))
+
+
+def _document_segments(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "text").withColumn("title", _title())
+    return contract.segments(docs, ["source"], ["doc_id"], "title", "text")
+
+
+@query
+def q03_segment_offsets_by_source(spark, sf_dir):
+    return _document_segments(spark, sf_dir).select("source", F.col("seg_ord").cast("long").alias("seg_ord"), "doc_id", "title", "offset", "words", "est_tokens")
+
+
+@query
+def q04_source_summary(spark, sf_dir):
+    own = _document_segments(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_segments"), F.sum("words").alias("words"), F.sum("n_chars_chunk").alias("chars"))
+    return own.withColumn("est_tokens", T.est_tokens(F.col("words")))
+
+
+@query
+def q05_unique_keys_by_lang(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("title"))
+    return contract.unique_keys(docs, ["source"], "title", ["doc_id"]).select("doc_id", "source", "key")
+
+
+def _capped(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").alias("size"))
+    return folds.greedy_cap(docs, "source", "doc_id", "size", 60_000)
+
+
+@query
+def q06_greedy_text_cap(spark, sf_dir):
+    return _capped(spark, sf_dir).filter("kept").select("source", "doc_id")
+
+
+@query
+def q07_dropped_log(spark, sf_dir):
+    gone = _capped(spark, sf_dir).filter("not kept")
+    return gone.groupBy("source").agg(F.count("*").alias("n_dropped"), F.min("doc_id").alias("first_dropped"), F.max("doc_id").alias("last_dropped")).withColumn("reason", F.lit("over text cap"))
+
+
+@query
+def q08_page_limit_cap(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id")
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return docs.withColumn("position", n).filter("position <= 15").select("source", "doc_id", F.col("position").cast("long").alias("position"))
+
+
+@query
+def q09_exact_dedupe_first_wins(spark, sf_dir):
+    # the digest travels, not the text
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query
+def q10_stub_flag(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", (F.length("text") < 200).alias("stub"))
+
+
+@query
+def q11_clean_lines(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.clean_lines(F.col("text")).alias("cleaned"))
+
+
+@query
+def q12_snippet_titles(spark, sf_dir):
+    first = F.element_at(T.lines(F.col("text")), 1)
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.lit(": "), T.snippet(first)).alias("title"))
+
+
+@query
+def q13_segment_slice_roundtrip(spark, sf_dir):
+    """Each document cut out of its source's whole text again, by offsets; only sources of bounded text are rendered whole."""
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.octet_length("text").alias("size"))
+    kept = folds.greedy_cap(docs, "source", "doc_id", "size", 60_000).filter("kept").select("source", "doc_id")
+    own = docs.join(kept, ["source", "doc_id"]).withColumns({"title": _title(), "chunk": contract.chunk(_title(), F.col("text"))})
+    segs = contract.with_offsets(own, ["source"], ["doc_id"], F.length("chunk"))
+    whole = contract.full_text(own, ["source"], "doc_id", "chunk")
+    nxt = F.lead("offset").over(Window.partitionBy("source").orderBy("doc_id"))
+    cut = segs.withColumn("next", nxt).join(whole, "source")
+    piece = F.substring("full_text", F.col("offset") + 1, F.coalesce(F.col("next"), F.length("full_text")) - F.col("offset"))
+    return cut.select("source", "doc_id", F.length(piece).cast("long").alias("n_chars"), (piece == F.col("chunk")).alias("same"))
+
+
+@query
+def q14_tag_counts_sources(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", F.array("lang", F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string"))).alias("tags"))
+    return notes.tag_counts(docs, "source", "tags").select("source", "tag", "n", F.col("rank").cast("long").alias("rank"))
+
+
+#: Addresses of every family beside the pages' own.
+SOURCES = [
+    "https://www.youtube.com/watch?v=abc", "https://www.youtube.com/watch?v=abc&list=PL1", "https://www.youtube.com/watch?list=PL1", "https://youtu.be/abc",
+    "https://www.youtube.com/playlist?list=PL1", "https://www.youtube.com/@name/videos", "youtube.com/channel/UC1", "https://docs.example.org/llms.txt",
+    "https://docs.example.org/a/llms-full.txt?x=1", "https://feeds.example.org/show", "https://example.org/feed", "https://podcasts.apple.com/us/podcast/x/id1",
+    "https://example.org/a.mp3?x=1", "https://arxiv.org/abs/1706.03762", "https://github.com/owner/repo.git", "https://github.com/owner/repo/tree/main",
+    "https://news.ycombinator.com/item?id=1", "https://old.reddit.com/r/x/comments/abc/title", "https://redd.it/abc", "paper.pdf", "book.EPUB", "talk.wav", "deck.pptx", "old.doc", "cues.srt", "unknown.bin",
+]
+
+
+def _sources(spark, sf_dir):
+    fixed = spark.createDataFrame([(s,) for s in SOURCES], "source string")
+    return _table(spark, sf_dir, "pages").select(F.col("url").alias("source")).union(fixed).distinct()
+
+
+@query
+def q15_detect_source_type(spark, sf_dir):
+    return detect.detect(_sources(spark, sf_dir)).select("source", "source_type")
+
+
+@query
+def q16_possible_types_and_forced(spark, sf_dir):
+    own = _sources(spark, sf_dir).withColumn("forced", F.when(F.length("source") % 3 == 0, F.lit("article")).when(F.length("source") % 3 == 1, F.lit("audio")))
+    found = detect.detect(own, forced="forced")
+    return found.select("source", F.array_join("possible", ",").alias("possible"), "source_type", F.col("reason").isNotNull().alias("refused"))
+
+
+def _pages(spark, sf_dir):
+    from strataline.operators.html import page_sections
+
+    return page_sections(_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+
+
+@query
+def q17_page_title_slug(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", "title", T.slugify(F.col("title")).alias("slug"))
+
+
+def _article(spark, sf_dir):
+    from strataline.operators.html import article_segments
+
+    return article_segments(_pages(spark, sf_dir), "page_id")
+
+
+@query
+def q18_article_words(spark, sf_dir):
+    return _article(spark, sf_dir).groupBy("page_id").agg(F.sum("content_words").alias("words"))
+
+
+@query
+def q19_readable_gate(spark, sf_dir):
+    own = _article(spark, sf_dir).groupBy("page_id").agg(F.sum("content_words").alias("gate"), F.sum("words").alias("words"))
+    return own.filter("gate >= 100").select("page_id", "words", T.est_tokens(F.col("words")).alias("est_tokens"))
+
+
+@query
+def q20_article_language(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", "language")
+
+
+@query
+def q21_sections_from_headings(spark, sf_dir):
+    return _article(spark, sf_dir).select("page_id", F.col("seg_ord").cast("long").alias("seg_ord"), "title", "offset")
+
+
+@query
+def q22_url_defrag_dedupe(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", T.without_query(F.col("url")).alias("address"))
+    return contract.first_of(pages, ["address"], ["page_id"]).select("page_id", "address")
+
+
+@query
+def q23_md_twin_candidates(spark, sf_dir):
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(T.markdown_twins(F.col("url"))).alias("ord", "candidate"))
+    return rows.select("page_id", F.col("ord").cast("long").alias("ord"), "candidate")
+
+
+@query
+def q24_llms_candidates(spark, sf_dir):
+    from strataline.operators.docs import llms_candidates
+
+    rows = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(llms_candidates(F.col("url"))).alias("ord", "candidate"))
+    return rows.select("page_id", F.col("ord").cast("long").alias("ord"), "candidate")
+
+
+def _cues(spark, sf_dir):
+    """Events as cues of a recording per user: seconds since the user's first event, scaled."""
+    e = _table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    first = F.min("us").over(Window.partitionBy("user_id"))
+    return e.select("user_id", "event_id", "event_type", (F.floor((F.col("us") - first) / 3_600_000_000) * 10).cast("long").alias("start_s")).withColumn("ord", F.row_number().over(Window.partitionBy("user_id").orderBy("start_s", "event_id")).cast("long"))
+
+
+@query
+def q25_cues_from_rendered_vtt(spark, sf_dir):
+    from strataline.operators.subtitles import parse_cues
+
+    stamp = F.format_string("%02d:%02d:%02d.000 --> %02d:%02d:%02d.000", *[x for k in (0, 1) for x in (F.floor((F.col("start_s") + k) / 3600), F.floor((F.col("start_s") + k) % 3600 / 60), (F.col("start_s") + k) % 60)])
+    block = F.concat(F.col("event_id").cast("string"), F.lit("\n"), stamp, F.lit("\n<v Speaker>"), "event_type", F.lit(" &amp; more</v>\n"))
+    own = _cues(spark, sf_dir).withColumn("block", block)
+    files = own.groupBy("user_id").agg(F.concat(F.lit("WEBVTT\n\nNOTE rendered\nnot a cue\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "block"))), lambda x: x["block"]), "\n")).alias("text"))
+    return parse_cues(files, "user_id", "text", dedupe=False).select("user_id", F.col("cue_ord").alias("ord"), F.col("start_s").cast("long").alias("start_s"), "text")
+
+
+@query
+def q26_consecutive_dedupe(spark, sf_dir):
+    return media.without_repeats(_cues(spark, sf_dir), "user_id", "ord", "event_type").select("user_id", "ord", "event_type")
+
+
+def _windows(spark, sf_dir):
+    return media.fixed_windows(media.durations(_cues(spark, sf_dir), "user_id", "start_s"), "user_id", "duration_s")
+
+
+@query
+def q27_fixed_windows(spark, sf_dir):
+    return _windows(spark, sf_dir)
+
+
+@query
+def q28_cue_to_segment_range_join(spark, sf_dir):
+    own = media.assign(_cues(spark, sf_dir), _windows(spark, sf_dir), "user_id", "start_s")
+    return own.groupBy("user_id", "seg_ord").agg(F.count("*").alias("n_cues"), F.min("ord").alias("first_cue"), F.max("ord").alias("last_cue"))
+
+
+@query
+def q29_marker_fold(spark, sf_dir):
+    cues = _cues(spark, sf_dir).withColumn("since", F.lit(0))
+    return folds.mark_times(cues, ["user_id"], "ord", "start_s", "since", 300).filter("marked").select("user_id", "ord", "start_s")
+
+
+@query
+def q30_speakers(spark, sf_dir):
+    from strataline.operators.subtitles import speakers
+
+    line = F.concat(F.initcap("role"), F.lit(": "), F.element_at(T.lines(F.col("text")), 1))
+    cues = _table(spark, sf_dir, "conversations").select((F.col("conv_id") % 50).alias("source_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), line.alias("text"), F.lit(False).alias("voiced"))
+    return speakers(cues, "source_id").select("source_id", "name", "n", F.col("position").cast("long").alias("position"))
+
+
+@query
+def q31_duration_rule(spark, sf_dir):
+    return media.durations(_cues(spark, sf_dir), "user_id", "start_s")
+
+
+@query
+def q32_deep_links(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    kind = F.col("page_id") % 4
+    base = F.regexp_replace(T.without_query(F.col("url")), r"^https?://[^/]+", "")
+    origin = F.when(kind == 0, F.concat(F.lit("https://www.youtube.com/watch?v=v"), F.col("page_id").cast("string"), F.lit("#x"))).when(kind == 1, F.concat(F.lit("https://vimeo.com"), base)).when(kind == 2, F.concat(F.lit("https://cdn.example.org"), base, F.lit(".mp3"))).otherwise(F.col("url"))
+    return pages.select("page_id", T.at_second(T.deep_link_template(origin), F.col("page_id") * 7).alias("link"))
+
+
+def _comments(spark, sf_dir):
+    """Turns as comments: a binary tree per conversation, every third turn deleted."""
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2).cast("long"))
+    return c.select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("id"), parent.alias("parent_id"), F.col("turn").alias("ord"), (F.col("turn") % 3 == 1).alias("deleted"), F.col("role").alias("author"), "text")
+
+
+def _tree(spark, sf_dir):
+    return threads.reading_order(threads.promoted(_comments(spark, sf_dir)))
+
+
+@query
+def q33_promote_deleted(spark, sf_dir):
+    return _tree(spark, sf_dir).select("thread_id", "id", F.col("depth").cast("long").alias("depth"), "root_id")
+
+
+def _lines(spark, sf_dir):
+    own = _tree(spark, sf_dir).join(_comments(spark, sf_dir).select("thread_id", "id", "author", "text"), ["thread_id", "id"])
+    return own.withColumn("line", threads.rendered_lines(F.col("depth"), F.col("author"), F.element_at(T.lines(F.col("text")), 1)))
+
+
+@query
+def q34_dfs_render_order(spark, sf_dir):
+    return _lines(spark, sf_dir).select("thread_id", F.col("pos").cast("long").alias("pos"), "id", "line")
+
+
+@query
+def q35_comment_budget(spark, sf_dir):
+    own = _lines(spark, sf_dir).withColumn("size", F.octet_length("line") + 1)
+    return folds.take_budget(own, "thread_id", "pos", "size", 4, 900).select("thread_id", F.col("pos").cast("long").alias("pos"), "taken")
+
+
+@query
+def q36_root_ranking(spark, sf_dir):
+    roots = _table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("thread_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") % 2 == 0, F.length("text") % 50).alias("score"))
+    return threads.ranked_roots(roots, "score", "id").select("thread_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def q37_thread_segments(spark, sf_dir):
+    own = _lines(spark, sf_dir).groupBy("thread_id", "root_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"), F.count("*").alias("n_comments"))
+    return own.select("thread_id", "root_id", "n_comments", F.md5("body").alias("body_md5"))
+
+
+@query
+def q38_comment_counts(spark, sf_dir):
+    return _comments(spark, sf_dir).groupBy("thread_id").agg(F.count_if(~F.col("deleted")).alias("n_comments"), F.count("*").alias("n_all"))
+
+
+def _vault(spark, sf_dir):
+    """Documents as notes of one vault per language; each links three others by arithmetic."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("vault_id"), (F.col("doc_id") % 7).alias("folder"))
+    path = F.concat(F.lit("f"), F.col("folder").cast("string"), F.lit("/note"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return docs.withColumns({"path": path, "seg_ord": F.col("doc_id")})
+
+
+def _note_text():
+    goal = [F.floor(F.col("doc_id") / 10) * 10, F.pmod(F.col("doc_id") * 3, F.lit(50)), F.col("doc_id")]
+    link = [F.concat(F.lit("note"), g.cast("string")) for g in goal]
+    return F.concat(F.lit("See [["), link[0], F.lit("|the first]] and [["), link[1], F.lit("#part]].\n```\n[[not-a-link]]\n```\nSelf [["), link[2], F.lit("]] and [other]("), link[0], F.lit(".md).\n"))
+
+
+def _note_links(spark, sf_dir):
+    from strataline.operators.markdown import note_links
+
+    return note_links(_vault(spark, sf_dir).withColumn("text", _note_text()), "doc_id", "text")
+
+
+@query
+def q39_rendered_note_links(spark, sf_dir):
+    return _note_links(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), "target")
+
+
+@query
+def q40_hubs_topk(spark, sf_dir):
+    vault = _vault(spark, sf_dir)
+    links = _note_links(spark, sf_dir).join(vault.select("doc_id", "vault_id", F.col("path").alias("src")), "doc_id").select("vault_id", "src", "target")
+    return notes.hubs(notes.resolved_links(vault, links)).select("vault_id", "path", "inbound", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def q41_frontmatter_roundtrip(spark, sf_dir):
+    from strataline.operators.markdown import frontmatter
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    odd = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("tags: ["), "lang", F.lit(", '"), "source", F.lit("']\n"))).otherwise(F.concat(F.lit("tags:\n  - "), "lang", F.lit("\n  - #"), "source", F.lit("  # why\n")))
+    text = F.concat(F.lit('---\ntitle: "Note '), F.col("doc_id").cast("string"), F.lit('"\n'), odd, F.lit("---\nBody "), F.col("n_chars").cast("string"))
+    return frontmatter(docs.withColumn("note", text), "doc_id", "note").select("doc_id", "title", F.array_join("tags", ",").alias("tags"), "body")
+
+
+def _markdown():
+    return F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\nintro "), "lang", F.lit("\n```\n# not a heading\n```\n## Part "), "source", F.lit("\nbody "), F.col("n_chars").cast("string"), F.lit("\n## Empty\n"))
+
+
+@query
+def q42_fence_aware_headings(spark, sf_dir):
+    from strataline.operators.markdown import headings
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _markdown().alias("md"))
+    return headings(docs, "doc_id", "md").select("doc_id", F.col("line").cast("long").alias("line"), F.col("level").cast("long").alias("level"), "title")
+
+
+def _index(spark, sf_dir):
+    """An llms.txt index per host: required pages, then an Optional section."""
+    p = _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("site"), F.octet_length("html").alias("size"))
+    p = p.withColumns({"optional": F.col("page_id") % 3 == 0, "path": F.concat(F.lit("/p"), F.col("page_id").cast("string"), F.lit(".md"))})
+    item = F.concat(F.lit("- [Page "), F.col("page_id").cast("string"), F.lit("]("), "path", F.lit("): note "), F.col("size").cast("string"))
+    lines = p.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("optional", "page_id", item.alias("line")))).alias("a"))
+    part = lambda flag: F.array_join(F.transform(F.filter("a", lambda x: x["optional"] == flag), lambda x: x["line"]), "\n")
+    text = F.concat(F.lit("# "), "site", F.lit("\n\n> About "), "site", F.lit("\n\nDetails.\n\n## Docs\n\n"), part(False), F.lit("\n\n## Optional\n\n"), part(True), F.lit("\n"))
+    return p, lines.select("site", text.alias("text"))
+
+
+@query
+def q43_llms_index_links(spark, sf_dir):
+    from strataline.operators.docs import parse_index
+
+    _, files = _index(spark, sf_dir)
+    base = F.concat(F.lit("https://"), "site", F.lit("/llms.txt"))
+    return parse_index(files.withColumn("base", base), "site", "text", "base").select("site", F.col("ord").cast("long").alias("ord"), "section", "name", "url", "notes", "optional")
+
+
+@query
+def q44_docs_caps_required_optional(spark, sf_dir):
+    pages, _ = _index(spark, sf_dir)
+    rows = pages.select((F.col("page_id") % 5).alias("site"), F.col("page_id").alias("ord"), "optional", F.when(F.col("page_id") % 11 != 0, F.col("size")).alias("size"))
+    return folds.take_optional(rows, "site", "ord", 20, 60_000, 50_000)
+
+
+@query
+def q45_llms_full_split(spark, sf_dir):
+    from strataline.operators.docs import split_full
+
+    docs = _table(spark, sf_dir, "documents").filter("doc_id % 5 < 4").select("source", "doc_id", F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\nbody "), F.col("n_chars").cast("string"), F.lit("\n")).alias("md"))
+    files = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "md"))), lambda x: x["md"]), "").alias("text"))
+    return split_full(files, "source", "text").select("source", F.col("ord").cast("long").alias("ord"), "title", "body")
+
+
+@query
+def q46_pipe_table(spark, sf_dir):
+    from strataline.operators.tables import pipe_table
+
+    n = _table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name")
+    cells = n.groupBy(F.col("n_regionkey").alias("region")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.array(x["n_nationkey"].cast("string"), x["n_name"])).alias("rows"))
+    head = F.array(F.array(F.lit("key"), F.lit("na|me")))
+    return cells.select(F.col("region").cast("long").alias("region"), pipe_table(F.concat(head, "rows")).alias("rendered"))
+
+
+def _manifests(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("key"))
+    position = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
+    return docs.filter("doc_id % 10 <> 0"), docs.filter("doc_id % 7 <> 0").withColumn("position", position)
+
+
+@query
+def q47_manifest_diff_added(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    return refresh.added(old, new, "source").select("source", "key", "position")
+
+
+@query
+def q47_manifest_diff_removed(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    return refresh.removed(old, new, "source").select("source", "key")
+
+
+@query
+def q47_manifest_diff_unchanged(spark, sf_dir):
+    old, new = _manifests(spark, sf_dir)
+    return refresh.unchanged(old, new, "source")
+
+
+@query
+def q48_refresh_due(spark, sf_dir):
+    kinds = F.array(*[F.lit(t) for t in detect.TYPES])
+    own = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at"), F.element_at(kinds, (F.col("o_orderkey") % 12 + 1).cast("int")).alias("source_type"))
+    age = refresh.age_days(F.col("at"), F.lit("1998-08-02 12:00:00").cast("timestamp"))
+    return own.select("o_orderkey", age.alias("age_days"), refresh.refresh_due(F.col("source_type"), age, 400).alias("due"))
+
+
+@query
+def q49_inventory_topics(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", "lang", T.est_tokens(T.word_count(F.col("text"))).alias("est"))
+    own = docs.groupBy("lang", "source").agg(F.sum("est").alias("est"), F.count("*").alias("n"))
+    return own.groupBy("lang").agg(F.count("*").alias("n_sources"), (F.count("*") > 1).alias("topic"), F.sum("est").alias("est_tokens"), F.max("n").alias("most_segments"))
+
+
+@query
+def q50_validate_rules(spark, sf_dir):
+    from strataline.operators.validate import frontmatter_errors
+
+    name = F.when(F.col("doc_id") % 4 == 0, F.lit("other")).otherwise(F.concat(F.lit("s"), F.col("doc_id").cast("string")))
+    about = F.when(F.col("doc_id") % 6 == 0, F.lit("")).otherwise(F.substring("text", 1, 1100))
+    own = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("folder"), name.alias("name"), about.alias("description"))
+    return own.select("doc_id", F.explode(frontmatter_errors(F.col("folder"), F.col("name"), F.col("description"))).alias("error"))
+
+
+@query
+def q51_eval_score(spark, sf_dir):
+    own = _table(spark, sf_dir, "labels").select((F.col("doc_id") % 20).alias("skill"), (F.col("quality") == 1).alias("ok"))
+    return refresh.eval_scores(own, "skill", "ok")
+
+
+@query
+def q52_leitner_schedule(spark, sf_dir):
+    box = refresh.next_box((F.col("doc_id") % 5 + 1).cast("int"), F.col("quality") == 1)
+    own = _table(spark, sf_dir, "labels").select("doc_id", box.alias("box"))
+    return own.select("doc_id", F.col("box").cast("long").alias("box"), refresh.next_due(F.lit("2024-01-01").cast("date"), F.col("box")).alias("due"))
+
+
+@query
+def q53_rate_limit_run(spark, sf_dir):
+    own = _cues(spark, sf_dir).withColumn("limited", F.col("event_type").isin("error", "view"))
+    return media.aborted_runs(own, "user_id", "ord", "limited", 3)
+
+
+@query
+def q54_caption_track_choice(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 2 == 0, F.lit("manual")).otherwise(F.lit("auto"))
+    tracks = docs.select((F.col("doc_id") % 40).alias("video"), kind.alias("kind"), F.when(F.col("doc_id") % 3 == 0, F.concat("lang", F.lit("-x"))).otherwise(F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 5 == 0, F.lit("json")).otherwise(F.lit("vtt")).alias("ext"), F.col("doc_id").alias("fmt_ord"))
+    return media.track_choice(tracks, "video").select("video", "kind", "lang", "fmt_ord")
+
+
+@query
+def q55_year_and_doi(spark, sf_dir):
+    from strataline.functions.citation import arxiv_year, creation_year, doi
+
+    d = F.col("doc_id")
+    text = F.concat(F.lit("doi:10."), (1000 + d % 9000).cast("string"), F.lit("/abc."), d.cast("string"), F.lit(".). More"))
+    ident = F.format_string("%02d%02d.%05d", d % 25, d % 12 + 1, d % 99999)
+    made = F.concat(F.lit("D:"), (1990 + d % 40).cast("string"), F.lit("0102"))
+    return _table(spark, sf_dir, "documents").select("doc_id", doi(text).alias("doi"), arxiv_year(ident).alias("arxiv_year"), creation_year(made).alias("creation_year"))
