@@ -133,7 +133,14 @@ def _prefixes(handle, buckets: int):
 _LISTED = "h long, a long, b long, na int, nb int, pos int"
 
 
-def _lists(sent: pa.Table) -> pa.Table:
+def _lists(small: int):
+    def run(sent: pa.Table) -> pa.Table:
+        return _listed(sent, small)
+
+    return run
+
+
+def _listed(sent: pa.Table, small: int) -> pa.Table:
     """Pairs (a, b, na, nb) of short lists; entries (h, leader, set, leader size, size, pos) of long ones."""
     unsqueeze = zstandard.ZstdDecompressor()
     cols = ([], [], [], [])
@@ -152,9 +159,9 @@ def _lists(sent: pa.Table) -> pa.Table:
     h, cls, n, pos = h[once], cls[once], n[once], pos[once]
     cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
     size = np.repeat(np.diff(cuts), np.diff(cuts))
-    short = np.flatnonzero((size > 1) & (size <= SMALL))
+    short = np.flatnonzero((size > 1) & (size <= small))
     found = []
-    for k in range(1, SMALL):
+    for k in range(1, small):
         i = short[short + k < len(h)]
         i = i[h[i] == h[i + k]]
         if not len(i):
@@ -168,7 +175,7 @@ def _lists(sent: pa.Table) -> pa.Table:
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
     longs = []
     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-        if e - s > SMALL:
+        if e - s > small:
             while s < e:
                 # a leader serves the sizes that can link with the smallest one
                 z = s + int(np.searchsorted(n[s:e], 4 * int(n[s]) // 3, "right"))
@@ -241,7 +248,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame
     return durable(both.select("a", "b", "na", "nb", "xb", "yb").mapInArrow(_overlaps, "a long, b long, na int, nb int, over int"), "ngram-overlap")
 
 
-def ngram_components(docs: DataFrame) -> DataFrame:
+def ngram_components(docs: DataFrame, small: int = SMALL, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -253,7 +260,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     handle = spark.sparkContext.broadcast((hashes[order], rank[order]))
     buckets = partitions_of(rows) * BUCKETS
     sent = rows.mapInArrow(_prefixes(handle, buckets), "bucket long, payload binary")
-    listed = durable(sent.groupBy("bucket").applyInArrow(_lists, _LISTED), "ngram-lists")
+    listed = durable(sent.groupBy("bucket").applyInArrow(_lists(small), _LISTED), "ngram-lists")
 
     linked = 7 * F.col("over") >= 3 * (F.col("na") + F.col("nb"))
     longs = listed.filter("h is not null")
@@ -269,7 +276,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         entries = known_over.join(comp, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
         entries = durable(entries.select("h", F.col("a").alias("lead"), "b", "nb", "pos", "over", "comp"), "ngram-long")
         mixed = entries.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1")
-        parts = F.ceil(F.col("rows") / SPLIT).cast("int")
+        parts = F.ceil(F.col("rows") / split).cast("int")
         spread = entries.join(mixed.select("h", parts.alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "parts")
