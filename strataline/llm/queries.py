@@ -184,4 +184,19 @@ ORACLES: dict[str, str] = {
         SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
                coalesce(action, CASE WHEN addr IN (SELECT node FROM spread) THEN 'block' END, 'allow') AS verdict
         FROM pages LEFT JOIN judged ON pages.url = judged.u""",
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(words[p : p + 4], ' ') AS shingle
+            FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS p FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 75 * (na.n + nb.n - o)),
+        u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+        r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node),
+        k AS (SELECT node, min(root) AS component_id FROM r GROUP BY node)
+        SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+        FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN k ON k.node = documents.doc_id""",
 }
