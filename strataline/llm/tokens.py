@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.runtime import scratch_path, slices, text_blocks
+from strataline.llm.runtime import durable, scratch_path, slices, text_blocks
 
-#: Entries of each table of encoded pieces before it starts anew.
-TABLE = 500_000
+#: Entries of the tables of encoded pieces and pre-tokens before they start anew.
+TABLE, WORD_TABLE = 400_000, 900_000
 #: Bytes of an ORC stripe and rows of an index entry: the units of parallel reads and of skipping.
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 #: The pre-tokens of byte-level BPE with the GPT-2 pattern, and bytes that stand for themselves in its alphabet.
@@ -43,59 +43,72 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) if b in PRINTABLE else chr(next(others)) for b in range(256)}
 
 
+class Whole(Exception):
+    """A text that cannot be encoded piece by piece."""
+
+
+class Words(dict):
+    """Ids of pre-tokens, by the library's merges."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.alphabet = model, byte_alphabet()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > WORD_TABLE:
+            self.clear()
+        spelled = word if word.isascii() and word.isalnum() else word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
+        got = self[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        return got
+
+
+class Pieces(dict):
+    """Ids of what stands between two spaces, with the space before it."""
+
+    def __init__(self, words: Words):
+        super().__init__()
+        import regex
+
+        self.words, self.split = words, regex.compile(PIECES).findall
+
+    def __missing__(self, piece: str) -> bytes:
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise Whole
+        if len(self) > TABLE:
+            self.clear()
+        if piece.isalpha():
+            got = self.words[" " + piece]
+        elif piece[:-1].isalpha() and piece[-1] in ",.;:!?":
+            got = self.words[" " + piece[:-1]] + self.words[piece[-1]]
+        else:
+            got = b"".join(map(self.words.__getitem__, self.split(" " + piece)))
+        self[piece] = got
+        return got
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers, equal to the library's encoding of the whole text."""
 
     def __init__(self, path: str):
         import os
 
-        import regex
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.model = self.tok.model
-        self.split = regex.compile(PIECES).findall
-        self.alphabet = byte_alphabet()
-        self.pieces: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) > TABLE:
-                self.words.clear()
-            spelled = word.encode("utf-8", "replace").decode("latin-1").translate(self.alphabet)
-            got = self.words[word] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return got
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece with the space before it; None if white space at its edges forbids taking it alone."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            got = None
-        else:
-            got = b"".join(map(self._word, self.split(" " + piece)))
-        if len(self.pieces) > TABLE:
-            self.pieces.clear()
-        self.pieces[piece] = got
-        return got
+        self.words = Words(self.tok.model)
+        self.pieces = Pieces(self.words)
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ")
-        if not rest:
-            return b"".join(map(self._word, self.split(text)))
-        if first and not first[0].isspace() and not first[-1].isspace():
-            out, get = [b"".join(map(self._word, self.split(first)))], self.pieces.get
-            for p in rest:
-                own = get(p)
-                if own is None and (own := self._piece(p)) is None:
-                    break
-                out.append(own)
-            else:
-                return b"".join(out)
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        try:
+            if first[:1].isspace() or first[-1:].isspace() or not first and rest:
+                raise Whole
+            head = b"".join(map(self.words.__getitem__, self.pieces.split(first)))
+            return head + b"".join(map(self.pieces.__getitem__, rest))
+        except Whole:
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.cache
@@ -142,7 +155,7 @@ def _digest(batches):
 
 def read_digests(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files; start is a prefix sum over parts, then inside each."""
-    own = stored.select("part", "seq", "ids", "doc_id").mapInArrow(_digest, "part int, seq long, doc_id long, n_tokens long, ids_crc32 long")
+    own = durable(stored.select("part", "seq", "ids", "doc_id").mapInArrow(_digest, "part int, seq long, doc_id long, n_tokens long, ids_crc32 long"), "token-digests")
     whole = own.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     ahead = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
