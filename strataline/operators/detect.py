@@ -96,7 +96,9 @@ def repository(source: Column) -> Column:
 
 
 def channel_videos_url(source: Column) -> Column:
-    return F.when(source.rlike(CHANNEL), F.concat(F.lit("https://www.youtube.com/"), F.regexp_extract(source, CHANNEL, 4), F.lit("/videos")))
+    """A channel's listing of uploads, whatever tab of it was named."""
+    own = F.substring(source, F.lit(1), F.instr(F.lower(source), "youtube.com/") + F.length(F.lit("youtube.com/")) + F.length(F.regexp_extract(source, CHANNEL, 3)) - 1)
+    return F.when(source.rlike(CHANNEL), F.concat(F.when(source.rlike(HTTP), F.lit("")).otherwise(F.lit("https://")), own, F.lit("/videos")))
 
 
 def thread_id(source: Column) -> Column:
