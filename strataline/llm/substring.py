@@ -34,7 +34,7 @@ WINDOW, RUN = 50, 6
 #: Buckets that a partition of the input adds; a bucket's size then does not grow with the corpus.
 BUCKETS = 8
 #: Text of a block that settles its own repeats.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Sorts before every doc_id.
 NO_ID = -(1 << 63)
 
