@@ -36,7 +36,7 @@ CLOSE = 1e-7
 #: Size classes are powers of this base.
 BASE = 8
 #: Rows of one (source, size) that a ranking part holds on average.
-PART_ROWS = 20_000
+PART_ROWS = 500
 
 
 def measured(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
@@ -92,7 +92,8 @@ def document_rates(sizes: DataFrame, goals: DataFrame, most: float = 3.0) -> Dat
         state = moved.select("key", "tilt", "low", "high")
         if moved.filter(~F.col("done")).isEmpty():
             break
-    tilted = base.join(state.select("key", "tilt"), "key", "left")
+    # sums of floats depend on their order in the last digits; rounded, reruns agree
+    tilted = base.join(state.select("key", F.round("tilt", 8).alias("tilt")), "key", "left")
     return tilted.select("key", "size", "n", F.when(full, F.lit(most)).otherwise(_rate(F.col("tilt"), F.col("x"), most)).alias("rate"))
 
 
@@ -105,7 +106,7 @@ def copies_by_size(rates: DataFrame, most: float = 3.0) -> DataFrame:
     for k in range(-1 if top is None else top, -1, -1):
         own = rates.filter(F.col("class") == k).join(carry, "key")
         planned = F.sum(F.col("n") * F.col("size") * F.col("rate")).over(Window.partitionBy("key"))
-        moved = F.greatest(F.lit(0.0), F.least(F.lit(most), F.col("rate") * (1 + F.col("carry") / planned)))
+        moved = F.round(F.greatest(F.lit(0.0), F.least(F.lit(most), F.col("rate") * (1 + F.col("carry") / planned))), 8)
         running = F.sum(F.col("n") * F.col("moved")).over(Window.partitionBy("key").orderBy(F.desc("size")))
         upto = own.withColumn("moved", moved).withColumn("upto", F.round(running))
         before = F.coalesce(F.lag("upto").over(Window.partitionBy("key").orderBy(F.desc("size"))), F.lit(0.0))
