@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Types that grow, days until a refresh is due, days between reviews by box.
@@ -44,3 +44,15 @@ def next_due(day: Column, box: Column) -> Column:
 def eval_scores(passed: DataFrame, by: str, flag: str) -> DataFrame:
     """(by, passed, total, score) of expectations."""
     return passed.groupBy(by).agg(F.sum(F.col(flag).cast("long")).alias("passed"), F.count("*").alias("total")).withColumn("score", F.col("passed") / F.col("total"))
+
+
+def quiz(cards: DataFrame, by: str, today: Column, most: int = 8) -> DataFrame:
+    """(by, id, rank): cards that are due, the longest waiting first, then unseen ones, spread over their source files.
+
+    cards: by, id, source, due, seen.
+    """
+    due = F.coalesce(F.col("due") <= today, F.lit(False)) & (F.col("seen") > 0)
+    own = cards.withColumn("__due", due).filter(F.col("__due") | (F.col("seen") == 0))
+    turn = F.when(F.col("__due"), 0).otherwise(F.row_number().over(Window.partitionBy(by, "__due", "source").orderBy("id")))
+    order = Window.partitionBy(by).orderBy(F.desc("__due"), F.when(F.col("__due"), F.col("due")), "__turn", "source", "id")
+    return own.withColumn("__turn", turn).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(by, "id", "rank")
