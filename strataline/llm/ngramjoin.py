@@ -1,14 +1,15 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
 A document's set holds the hashes of its distinct shingles; documents with equal
-sets are one class.  Shingles have one global order, frequent ones last; linked
-sets share a shingle among their first n - ceil(least x n) + 1, so that only these
-prefixes are indexed.  Index lists are sorted by set size; a pair is skipped if its
-sizes, or the positions at which the two sets hold the shingle, leave too small an
-overlap (whole blocks of a long list at once).
-
-Lists of at most ``SMALL`` sets give their remaining pairs.  In a longer list every
-set first meets only its leader.  What that computed answers for the others: sets
+sets are one class.  Shingles have one global order, frequent ones last: those
+frequent in a block of documents at first, then also those whose index lists came out
+long, for which the index is built once more.  Of sets that link, the first n - ceil(3n / 4) + l shingles share at least l, so that only these
+prefixes are indexed (l grows with n).  Index lists are sorted by set size; a pair is
+skipped if its sizes, or the positions at which the two sets hold the shingle, leave
+too small an overlap (whole blocks of a long list at once).
+
+Lists of at most ``SMALL`` sets give their remaining pairs; a pair that such lists
+give l times is compared.  In a longer list every set first meets only its leader.  What that computed answers for the others: sets
 that end in one component need no comparison, and with o the overlaps with the
 leader L, |x and z| <= o(z) + |x| - o(x), which rules out most other pairs; only
 what is left is compared.  Components are thus exact, and a group of n copies costs
@@ -29,17 +30,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.llm.components import connected_components
-from strataline.llm.runtime import durable, partitions_of, text_blocks
+from strataline.llm.runtime import durable, forget, partitions_of, text_blocks
 from strataline.llm.substring import Hashes, _rolled
 
 #: Words of a shingle; links have 7 x overlap >= 3 x (sum of sizes), a Jaccard similarity of 3/4.
 SHINGLE = 5
 #: Longest list that gives its pairs at once; block of a longer list; rows of a list that one task compares.
-SMALL, BLOCK, SPLIT = 16, 64, 20_000
+SMALL, BLOCK, SPLIT = 32, 64, 20_000
 #: Index buckets per partition of the input.
 BUCKETS = 8
 #: Frequent shingles that the order puts last.  The order decides costs, never results, so the bound is safe.
-HEAVY = 1 << 16
+HEAVY = 1 << 18
+#: Most rows (of two numbers each) of a side that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 _SEED_SHORT = 5
 
@@ -49,9 +52,22 @@ def required(a, b):
     return -((-3 * (a + b)) // 7)
 
 
+def shared_least(n):
+    """l: how many shingles of their prefixes linked sets share, the smaller of which has n."""
+    return 1 + -((-3 * n) // 4) // 8
+
+
+def room(n, pos, m, at):
+    """Most overlap of sets of sizes n and m that hold one shingle at positions pos and at."""
+    return np.minimum(pos, at) + np.minimum(n - pos, m - at)
+
+
 def shingle_set(text: str, hashes: Hashes) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return shingles_of(text.encode("utf-8", "surrogatepass").lower().split(), hashes)
+
+
+def shingles_of(words: list[bytes], hashes: Hashes) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < SHINGLE:
@@ -106,7 +122,7 @@ def _prefixes(handle, buckets: int):
                     if last.any():
                         late = own[last]
                         own = np.concatenate([own[~last], late[np.argsort(heavy[1][at[last]], kind="stable")]])
-                p = n - -(-3 * n // 4) + 1
+                p = n - -(-3 * n // 4) + shared_least(n)
                 cols[0].append(own[:p])
                 cols[1].append(np.full(p, cls, np.int64))
                 cols[2].append(np.full(p, n, np.int32))
@@ -141,7 +157,7 @@ def _lists(small: int):
 
 
 def _listed(sent: pa.Table, small: int) -> pa.Table:
-    """Pairs (a, b, na, nb) of short lists; entries (h, leader, set, leader size, size, pos) of long ones."""
+    """Pairs (a, b, na, nb, times) of short lists; entries (h, leader, set, leader size, size, pos) of long ones."""
     unsqueeze = zstandard.ZstdDecompressor()
     cols = ([], [], [], [])
     for x in sent.column("payload"):
@@ -168,11 +184,11 @@ def _listed(sent: pa.Table, small: int) -> pa.Table:
             break
         j = i + k
         need = required(n[i].astype(np.int64), n[j])
-        ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (4 * n[i].astype(np.int64) >= 3 * n[j])
+        ok = (room(n[i], pos[i], n[j], pos[j]) >= need) & (4 * n[i].astype(np.int64) >= 3 * n[j])
         i, j = i[ok], j[ok]
         swap = cls[i] > cls[j]
         found.append(np.stack([np.where(swap, cls[j], cls[i]), np.where(swap, cls[i], cls[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 4), np.int64)
+    pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.empty((0, 4), np.int64), np.empty(0, np.int64))
     longs = []
     for s, e in zip(cuts[:-1], cuts[1:], strict=True):
         if e - s > small:
@@ -182,7 +198,7 @@ def _listed(sent: pa.Table, small: int) -> pa.Table:
                 lead = s + int(np.argmin(cls[s:z]))
                 longs.append((h[s:z].view(np.int64), np.full(z - s, cls[lead]), cls[s:z], np.full(z - s, n[lead]), n[s:z], pos[s:z]))
                 s = z
-    out = [pa.table({"h": pa.nulls(len(pairs), pa.int64()), "a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32), "pos": pa.nulls(len(pairs), pa.int32())})]
+    out = [pa.table({"h": pa.nulls(len(pairs), pa.int64()), "a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32), "pos": times.astype(np.int32)})]
     if longs:
         c = [np.concatenate(x) for x in zip(*longs, strict=True)]
         out.append(pa.table({"h": c[0], "a": c[1], "b": c[2], "na": c[3].astype(np.int32), "nb": c[4].astype(np.int32), "pos": c[5].astype(np.int32)}))
@@ -201,15 +217,17 @@ def _rest(rows: pa.Table) -> pa.Table:
     for k in range(0, len(two), BLOCK):
         blk = two[k : k + BLOCK]
         comps = np.unique(c["comp"][blk])
-        least, most, room = n[blk].min(), n[blk].max(), (n[blk] - pos[blk]).max()
+        least, most = n[blk].min(), n[blk].max()
+        # at best a set of the block holds the shingle as early or late as this one does
+        early, late = pos[blk].max(), (n[blk] - pos[blk]).max()
         # sets that this block's sizes, positions and components leave
         x = one[(4 * n[one] >= 3 * least) & (3 * n[one] <= 4 * most)]
-        x = x[(np.minimum(n[x] - pos[x], room) >= required(n[x], least)) & ((len(comps) > 1) | (c["comp"][x] != comps[0]))]
+        x = x[(np.minimum(pos[x], early) + np.minimum(n[x] - pos[x], late) >= required(n[x], least)) & ((len(comps) > 1) | (c["comp"][x] != comps[0]))]
         if not len(x):
             continue
         i, j = (a.ravel() for a in np.meshgrid(x, blk, indexing="ij"))
         need = required(n[i], n[j])
-        ok = (c["comp"][i] != c["comp"][j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+        ok = (c["comp"][i] != c["comp"][j]) & (room(n[i], pos[i], n[j], pos[j]) >= need)
         ok &= (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
         if same:
             ok &= i < j
@@ -224,28 +242,50 @@ def _rest(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32)})
 
 
-def _sets(batches):
-    hashes = Hashes()
+def _bodies(batches):
+    """(cls, body) of the rows whose text is of the class asked for: its words, compressed, once in a task."""
+    hashes, squeeze, seen = Hashes(), zstandard.ZstdCompressor(level=3), set()
     for b in batches:
-        own = [shingle_set(t.as_py() or "", hashes) for t in b.column(1)]
-        right = [len(s) > 0 and class_of(s) == c for s, c in zip(own, b.column(0).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in own], pa.binary())], ["cls", "body"]).filter(pa.array(right, pa.bool_()))
+        out = []
+        for cls, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if cls not in seen:
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                own = shingles_of(words, hashes)
+                if len(own) and class_of(own) == cls:
+                    seen.add(cls)
+                    out.append((cls, squeeze.compress(b" ".join(words))))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["cls", "body"])
 
 
 def _overlaps(batches):
+    """Intersection sizes; the rows of one set a follow each other, so that it is unpacked once."""
+    hashes, unsqueeze = Hashes(), zstandard.ZstdDecompressor()
+    now, left = None, None
     for b in batches:
-        over = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(b.column(4), b.column(5), strict=True)]
+        over = []
+        for a, xb, yb in zip(b.column(0).to_pylist(), b.column(4), b.column(5), strict=True):
+            if a != now:
+                now, left = a, shingles_of(unsqueeze.decompress(xb.as_py()).split(), hashes)
+            over.append(len(np.intersect1d(left, shingles_of(unsqueeze.decompress(yb.as_py()).split(), hashes), assume_unique=True)))
         yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(over, pa.int32())], ["a", "b", "na", "nb", "over"])
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, na, nb, over) of pairs of classes: the size of their sets' intersection."""
+    """(a, b, na, nb, over) of pairs of classes: the size of their sets' intersection.
+
+    Only the texts that some pair needs travel, as compressed words.
+    """
+    pairs = durable(pairs, "ngram-pairs")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    where = members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min_by(F.struct("doc_id"), F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("at")).select("cls", F.col("at.doc_id").alias("at"))
-    rows = docs.select("doc_id", "text").join(where, F.col("doc_id").eqNullSafe(F.col("at"))).select("cls", "text")
-    sets = durable(rows.mapInArrow(_sets, "cls long, body binary").dropDuplicates(["cls"]), "ngram-sets")
-    both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("body").alias("yb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("body").alias("xb")), "a")
-    return durable(both.select("a", "b", "na", "nb", "xb", "yb").mapInArrow(_overlaps, "a long, b long, na int, nb int, over int"), "ngram-overlap")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id")
+    where = durable(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(rank).alias("at")).select("cls", F.col("at.doc_id").alias("at")), "ngram-where")
+    side = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
+    rows = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("at"))).select("cls", "text")
+    bodies = durable(rows.mapInArrow(_bodies, "cls long, body binary"), "ngram-bodies")
+    both = pairs.join(bodies.select(F.col("cls").alias("b"), F.col("body").alias("yb")), "b").join(bodies.select(F.col("cls").alias("a"), F.col("body").alias("xb")), "a")
+    found = durable(both.select("a", "b", "na", "nb", "xb", "yb").mapInArrow(_overlaps, "a long, b long, na int, nb int, over int").distinct(), "ngram-overlap")
+    forget(bodies)
+    return found
 
 
 def ngram_components(docs: DataFrame, small: int = SMALL, split: int = SPLIT) -> DataFrame:
@@ -254,17 +294,30 @@ def ngram_components(docs: DataFrame, small: int = SMALL, split: int = SPLIT) ->
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     known = durable(rows.mapInArrow(_features, _FEATURES), "ngram-features")
     members = known.filter("heavy is null").select("doc_id", "n", "cls")
-    often = known.filter("heavy is not null").groupBy("heavy").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "heavy").limit(HEAVY).toPandas()
-    hashes, rank = often["heavy"].to_numpy(np.int64).view(np.uint64), np.argsort(np.argsort(often["n"].to_numpy(), kind="stable"), kind="stable")
-    order = np.argsort(hashes)
-    handle = spark.sparkContext.broadcast((hashes[order], rank[order]))
+    often = known.filter("heavy is not null").groupBy(F.col("heavy").alias("h")).agg(F.sum("n").alias("n"))
     buckets = partitions_of(rows) * BUCKETS
-    sent = rows.mapInArrow(_prefixes(handle, buckets), "bucket long, payload binary")
-    listed = durable(sent.groupBy("bucket").applyInArrow(_lists(small), _LISTED), "ngram-lists")
+
+    def index(frequent: DataFrame) -> DataFrame:
+        last = frequent.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
+        hashes, rank = last["h"].to_numpy(np.int64).view(np.uint64), np.argsort(np.lexsort((last["h"], last["n"])))
+        order = np.argsort(hashes)
+        handle = spark.sparkContext.broadcast((hashes[order], rank[order]))
+        sent = rows.mapInArrow(_prefixes(handle, buckets), "bucket long, payload binary")
+        return durable(sent.groupBy("bucket").applyInArrow(_lists(small), _LISTED), "ngram-lists")
+
+    listed = index(often)
+    long_ones = listed.filter("h is not null").groupBy("h").agg(F.count("*").alias("n"))
+    if not long_ones.isEmpty():
+        # shingles that blocks found rare but the corpus does not: behind the others they are in few prefixes
+        first_listed, listed = listed, index(often.unionByName(long_ones).groupBy("h").agg(F.max("n").alias("n")))
+        forget(first_listed)
 
     linked = 7 * F.col("over") >= 3 * (F.col("na") + F.col("nb"))
     longs = listed.filter("h is not null")
-    first = listed.filter("h is null or a <> b").select("a", "b", "na", "nb")
+    smaller = F.least("na", "nb")
+    enough = 1 + F.floor(F.ceil(3 * smaller / 4) / 8)
+    often_met = listed.filter("h is null").groupBy("a", "b", "na", "nb").agg(F.sum("pos").alias("times")).filter(F.col("times") >= enough)
+    first = longs.filter("a <> b").select("a", "b", "na", "nb").unionByName(often_met.drop("times"))
     ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
     first = first.select(ordered.alias("p")).select("p.*").distinct()
     answers = overlaps(first, rows, members)
