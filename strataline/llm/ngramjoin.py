@@ -205,15 +205,41 @@ def _listed(sent: pa.Table, small: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
+#: Pairs that a task holds before it removes repeats.
+HELD = 500_000
+
+
 def _rest(rows: pa.Table) -> pa.Table:
-    """Pairs of a long list (or of two parts of it) that sizes, positions, components and leaders leave open."""
-    c = {k: rows.column(k).to_numpy() for k in ("b", "nb", "pos", "comp", "lead", "over", "part", "lo", "hi")}
-    order = np.lexsort((c["b"], c["nb"]))
+    """Pairs of long lists (or of two parts of them) that sizes, positions, components and leaders leave open.
+
+    The lists of one head come together: a passage's shingles have much the same lists, so that most
+    repeats of a pair are removed here, and lists with the same sets are looked through once.
+    """
+    c = {k: rows.column(k).to_numpy() for k in ("h", "b", "nb", "pos", "comp", "lead", "over", "part", "lo", "hi")}
+    order = np.lexsort((c["b"], c["nb"], c["h"]))
     c = {k: v[order] for k, v in c.items()}
+    cuts = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1], True])
+    seen, out, held = set(), [np.empty((0, 4), np.int64)], 0
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = c["b"][s:e].tobytes()
+        if own in seen:
+            continue
+        seen.add(own)
+        for pairs in _left_open({k: v[s:e] for k, v in c.items()}):
+            out.append(pairs)
+            held += len(pairs)
+            if held > HELD:
+                out = [np.unique(np.concatenate(out), axis=0)]
+                held = 0
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32)})
+
+
+def _left_open(c: dict[str, np.ndarray]):
+    """Open pairs of one list, sorted by size, block by block."""
     one, two = np.flatnonzero(c["part"] == c["lo"]), np.flatnonzero(c["part"] == c["hi"])
     same = bool(len(one)) and c["lo"][0] == c["hi"][0]
     n, pos = c["nb"].astype(np.int64), c["pos"].astype(np.int64)
-    out = []
     for k in range(0, len(two), BLOCK):
         blk = two[k : k + BLOCK]
         comps = np.unique(c["comp"][blk])
@@ -237,9 +263,7 @@ def _rest(rows: pa.Table) -> pa.Table:
         i, j = i[ok], j[ok]
         swap = c["b"][i] > c["b"][j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        out.append(np.stack([c["b"][i], c["b"][j], n[i], n[j]], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 4), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32)})
+        yield np.stack([c["b"][i], c["b"][j], n[i], n[j]], axis=1)
 
 
 def _bodies(batches):
@@ -328,12 +352,13 @@ def ngram_components(docs: DataFrame, small: int = SMALL, split: int = SPLIT) ->
         known_over = longs.join(either, ["a", "b"], "left").withColumn("over", F.coalesce("over", F.when(F.col("a") == F.col("b"), F.col("nb")), F.lit(0)))
         entries = known_over.join(comp, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
         entries = durable(entries.select("h", F.col("a").alias("lead"), "b", "nb", "pos", "over", "comp"), "ngram-long")
-        mixed = entries.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("rows")).filter("c0 <> c1")
-        parts = F.ceil(F.col("rows") / split).cast("int")
-        spread = entries.join(mixed.select("h", parts.alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
+        mixed = entries.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("b").alias("head"), F.count("*").alias("rows")).filter("c0 <> c1")
+        mixed = durable(mixed.select("h", "head", "rows"), "ngram-mixed")
+        parts = mixed.groupBy("head").agg(F.ceil(F.sum("rows") / split).cast("int").alias("parts"))
+        spread = entries.join(mixed.select("h", "head"), "h").join(parts, "head").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "parts")
-        left = durable(spread.groupBy("h", "lo", "hi").applyInArrow(_rest, "a long, b long, na int, nb int").distinct(), "ngram-rest")
+        left = durable(spread.groupBy("head", "lo", "hi").applyInArrow(_rest, "a long, b long, na int, nb int").distinct(), "ngram-rest")
         left = left.join(answers.select("a", "b"), ["a", "b"], "left_anti")
         if not left.isEmpty():
             edges = edges.union(overlaps(left, rows, members).filter(linked).select("a", "b"))
