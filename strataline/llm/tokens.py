@@ -13,7 +13,7 @@ encoded apart.
 
 Defined results: a null text is an empty one (only the end id); control strings
 of the vocabulary inside a text are ordinary text; rows repeating a doc_id follow
-each other, by text; null doc_ids come first.
+each other, by a hash of the text; null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -130,9 +130,10 @@ def _encode(path: str, end: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> None:
     """Write (part, seq, doc_id, ids) as ORC, parts and rows in ascending doc_id order."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ranged = rows.repartitionByRange(slices(docs), F.col("doc_id").asc(), F.col("text").asc()).sortWithinPartitions("doc_id", "text")
-    coded = ranged.mapInArrow(_encode(tokenizer, end), "doc_id long, ids array<int>")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("turn"))
+    # the hash parts rows of one doc_id, if they are many; the range bounds then hold numbers only
+    ranged = rows.repartitionByRange(slices(docs), F.col("doc_id").asc(), F.col("turn").asc()).sortWithinPartitions("doc_id", "turn", "text")
+    coded = ranged.select("doc_id", "text").mapInArrow(_encode(tokenizer, end), "doc_id long, ids array<int>")
     numbered = coded.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "doc_id", "ids")
     options = {
         "compression": "zstd",
