@@ -17,7 +17,6 @@ conversation; rows repeating a turn are turns each, ordered by role and text.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 
@@ -26,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.llm.tokens import encoder
+
 #: Turns of one output row.
 TURNS = 256
 #: The control strings; their ids follow the tokenizer's own.
@@ -55,33 +56,20 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\[\\n]", lambda m: _ROLE_IN[m[0]], unescape(role))
 
 
-@functools.cache
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
-
-
 def _encode(path: str, train_roles: frozenset[str]):
     def run(batches):
-        tok = _tokenizer(path)
-        size = tok.get_vocab_size()
-        opens, closes = [size], [size + 1]
-        line = tok.encode("\n", add_special_tokens=False).ids
+        enc = encoder(path)
+        size = enc.tok.get_vocab_size()
+        opens, closes, line = np.array([size], np.uint32), np.array([size + 1], np.uint32), np.frombuffer(enc.encode("\n"), "<u4")
         now, chunk, ids, lens, flags, turns = None, 0, [], [], [], 0
         out: list[tuple] = []
 
         def flush():
-            mask = np.zeros(len(ids), np.uint8)
             ends = np.cumsum(lens)
+            mask = np.zeros(ends[-1], np.uint8)
             for i in np.flatnonzero(flags):
                 mask[ends[i] - lens[i] : ends[i]] = 1
-            out.append((now[0], chunk, turns, np.array(ids, np.int32), mask.tobytes()))
+            out.append((now[0], chunk, turns, np.concatenate(ids).astype(np.int32), mask.tobytes()))
 
         def batch():
             table = pa.RecordBatch.from_pydict(
@@ -98,8 +86,8 @@ def _encode(path: str, train_roles: frozenset[str]):
 
         for b in batches:
             convs, roles, texts = (c.to_pylist() for c in b.columns[:3])
-            heads = [e.ids for e in tok.encode_batch([_role_out(r) for r in roles], add_special_tokens=False)]
-            bodies = [e.ids for e in tok.encode_batch([escape(t) for t in texts], add_special_tokens=False)]
+            heads = [np.frombuffer(enc.encode(_role_out(r)), "<u4") for r in roles]
+            bodies = [np.frombuffer(enc.encode(escape(t)), "<u4") for t in texts]
             for conv, role, head, body in zip(convs, roles, heads, bodies, strict=True):
                 if now != (conv,) or turns >= TURNS:
                     if turns:
@@ -108,7 +96,7 @@ def _encode(path: str, train_roles: frozenset[str]):
                     now, ids, lens, flags, turns = (conv,), [], [], [], 0
                 learn = role in train_roles
                 for part, flag in ((opens, 0), (head, 0), (line, 0), (body, learn), (closes, 0), (line, 0)):
-                    ids += part
+                    ids.append(part)
                     lens.append(len(part))
                     flags.append(flag)
                 turns += 1
@@ -124,7 +112,7 @@ def _encode(path: str, train_roles: frozenset[str]):
 
 def _decode(path: str):
     def run(batches):
-        tok = _tokenizer(path)
+        tok = encoder(path).tok
         size = tok.get_vocab_size()
         line = tok.encode("\n", add_special_tokens=False).ids
         now, sums, out = None, None, []
