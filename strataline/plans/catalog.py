@@ -109,16 +109,14 @@ def q12_snippet_titles(spark, sf_dir):
 
 @query
 def q13_segment_slice_roundtrip(spark, sf_dir):
-    """Each document cut out of its source's whole text again, by offsets; only sources of bounded text are rendered whole."""
-    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.octet_length("text").alias("size"))
-    kept = folds.greedy_cap(docs, "source", "doc_id", "size", 60_000).filter("kept").select("source", "doc_id")
-    own = docs.join(kept, ["source", "doc_id"]).withColumns({"title": _title(), "chunk": contract.chunk(_title(), F.col("text"))})
-    segs = contract.with_offsets(own, ["source"], ["doc_id"], F.length("chunk"))
-    whole = contract.full_text(own, ["source"], "doc_id", "chunk")
-    nxt = F.lead("offset").over(Window.partitionBy("source").orderBy("doc_id"))
-    cut = segs.withColumn("next", nxt).join(whole, "source")
-    piece = F.substring("full_text", F.col("offset") + 1, F.coalesce(F.col("next"), F.length("full_text")) - F.col("offset"))
-    return cut.select("source", "doc_id", F.length(piece).cast("long").alias("n_chars"), (piece == F.col("chunk")).alias("same"))
+    """Each document cut out of its source's whole text again, by offsets; the text lies in parts, and digests tell whether a slice is the chunk."""
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", contract.chunk(_title(), F.coalesce("text", F.lit(""))).alias("chunk")).withColumn("digest", F.sha2("chunk", 256))
+    sizes = docs.select("source", "doc_id", "digest", F.length("chunk").alias("size"))
+    segs = contract.with_offsets(sizes, ["source"], ["doc_id", "digest"], F.col("size"))
+    segs = segs.withColumn("next", F.lead("offset").over(Window.partitionBy("source").orderBy("offset")))
+    parts = contract.text_parts(docs.join(segs.select("source", "doc_id", "digest", "offset"), ["source", "doc_id", "digest"]), ["source"], "chunk")
+    cut = segs.join(contract.slices(segs, parts, ["source"]), ["source", "offset"])
+    return cut.select("source", "doc_id", F.length("slice").cast("long").alias("n_chars"), (F.sha2("slice", 256) == F.col("digest")).alias("same"))
 
 
 @query
