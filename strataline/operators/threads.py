@@ -36,11 +36,6 @@ def reading_order(tree: DataFrame) -> DataFrame:
     return tree.withColumn("pos", F.row_number().over(Window.partitionBy("thread_id").orderBy("path")))
 
 
-def rendered_lines(depth, author, first_line):
-    """A comment's first line, indented by depth."""
-    return F.concat(F.repeat(F.lit("  "), depth), author, F.lit(": "), first_line)
-
-
 def ranked_roots(roots: DataFrame, score: str, order: str) -> DataFrame:
     """Adds rank: by score, highest first (none counts as 0), then in the given order."""
     return roots.withColumn("rank", F.row_number().over(Window.partitionBy("thread_id").orderBy(F.coalesce(F.col(score), F.lit(0)).desc(), order)))

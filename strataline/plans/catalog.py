@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataline.functions import text as T
-from strataline.operators import contract, detect, folds, media, notes, refresh, threads
+from strataline.operators import contract, detect, discussions, folds, media, notes, refresh, threads
 from strataline.plans.oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,7 +295,8 @@ def q33_promote_deleted(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     own = _tree(spark, sf_dir).join(_comments(spark, sf_dir).select("thread_id", "id", "author", "text"), ["thread_id", "id"])
-    return own.withColumn("line", threads.rendered_lines(F.col("depth"), F.col("author"), F.element_at(T.lines(F.col("text")), 1)))
+    text = F.filter(F.transform(T.lines(F.coalesce("text", F.lit(""))), T.collapse), lambda x: x != "")
+    return own.withColumn("line", F.array_join(discussions.comment_lines(F.col("depth"), F.col("author"), F.lit(None).cast("int"), text), "\n"))
 
 
 @query

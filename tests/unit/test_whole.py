@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from strataline.operators import contract
@@ -31,3 +33,44 @@ def test_parts_and_slices(spark, monkeypatch):
     assert {(r.source, r.offset): r["slice"] for r in contract.slices(ranges, parts, ["source"]).collect()} == chunks
     wrong = ranges.withColumn("next", F.col("next") - 1)
     assert {(r.source, r.offset): r["slice"] for r in contract.slices(wrong, parts, ["source"]).collect()}["a", 2] == chunks["a", 2][:-1]
+
+
+def rendered(spark):
+    """{(thread, id): (pos, root, text)}: every line of every comment that stays, as the reference renders it."""
+    turns = {(r.conv_id, r.turn): r for r in table(spark, "conversations")}
+    out = {}
+    for thread in sorted({t for t, _ in turns}):
+        todo, pos = [(0, 0, None)], 0
+        while todo:
+            at, depth, root = todo.pop()
+            if (own := turns.get((thread, at))) is None:
+                continue
+            stays = at % 3 != 1
+            if stays:
+                pos, root, pad = pos + 1, at if root is None else root, "  " * depth
+                first, *more = [" ".join(x.split()) for x in own.text.splitlines() if x.strip()] or [""]
+                out[thread, at] = pos, root, "\n".join([f"{pad}{own.role}: {first}", *[pad + x for x in more]])
+            todo += [(k, depth + stays, root) for k in (2 * at + 2, 2 * at + 1)]
+    return out
+
+
+def test_every_line_of_a_comment(spark):
+    want = rendered(spark)
+    assert sum("\n" in text for *_, text in want.values()) > 100
+    assert {(r.thread_id, r.id): (r.pos, r.line) for r in catalog.QUERIES["q34_dfs_render_order"](spark, SF).collect()} == {k: (pos, text) for k, (pos, _, text) in want.items()}
+
+
+def test_budget_counts_every_line(spark):
+    taken, spent = {}, {}
+    for (thread, _), (pos, _, text) in sorted(rendered(spark).items(), key=lambda x: (x[0][0], x[1][0])):
+        taken[thread, pos] = pos <= 4 and spent.get(thread, 0) < 900
+        spent[thread] = spent.get(thread, 0) + sum(len(x.encode()) + 1 for x in text.split("\n"))
+    assert {(r.thread_id, r.pos): r.taken for r in catalog.QUERIES["q35_comment_budget"](spark, SF).collect()} == taken
+
+
+def test_segments_hold_every_line(spark):
+    bodies = {}
+    for (thread, _), (pos, root, text) in rendered(spark).items():
+        bodies.setdefault((thread, root), []).append((pos, text))
+    want = {k: (len(v), hashlib.md5("\n".join(t for _, t in sorted(v)).encode()).hexdigest()) for k, v in bodies.items()}
+    assert {(r.thread_id, r.root_id): (r.n_comments, r.body_md5) for r in catalog.QUERIES["q37_thread_segments"](spark, SF).collect()} == want
