@@ -411,7 +411,7 @@ def q44_docs_caps_required_optional(spark, sf_dir):
 def q45_llms_full_split(spark, sf_dir):
     from strataline.operators.docs import split_full
 
-    docs = _table(spark, sf_dir, "documents").filter("doc_id % 5 < 4").select("source", "doc_id", F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\nbody "), F.col("n_chars").cast("string"), F.lit("\n")).alias("md"))
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", F.concat(F.lit("# Page "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("md"))
     files = docs.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "md"))), lambda x: x["md"]), "").alias("text"))
     return split_full(files, "source", "text").select("source", F.col("ord").cast("long").alias("ord"), "title", "body")
 

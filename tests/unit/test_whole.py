@@ -74,3 +74,13 @@ def test_segments_hold_every_line(spark):
         bodies.setdefault((thread, root), []).append((pos, text))
     want = {k: (len(v), hashlib.md5("\n".join(t for _, t in sorted(v)).encode()).hexdigest()) for k, v in bodies.items()}
     assert {(r.thread_id, r.root_id): (r.n_comments, r.body_md5) for r in catalog.QUERIES["q37_thread_segments"](spark, SF).collect()} == want
+
+
+def test_every_document_is_a_section(spark):
+    got = {(r.source, r.ord): (r.title, r.body) for r in catalog.QUERIES["q45_llms_full_split"](spark, SF).collect()}
+    want, n = {}, {}
+    for r in sorted(table(spark, "documents"), key=lambda r: (r.source, r.doc_id)):
+        if body := "\n".join(r.text.splitlines()).strip():
+            n[r.source] = n.get(r.source, 0) + 1
+            want[r.source, n[r.source]] = f"Page {r.doc_id}", body
+    assert len(want) == 1000 and got == want
