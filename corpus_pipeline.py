@@ -27,14 +27,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the row with the smallest doc_id stays (of rows repeating it, one)."""
-    found = ngram_components(docs.select("doc_id", "text"))
-    gone = durable(found.filter("n_shingles > 0 and component_id <> doc_id").select("doc_id").distinct(), "pipeline-gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = durable(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "pipeline-again")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each component of linked rows one stays: the one with the smallest doc_id, null last.
+
+    Rows are told apart by doc_id and text; of rows that repeat both, one stays.  Texts
+    without words link with nothing, so that those with a null doc_id all stay.
+    """
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    found = ngram_components(rows.select(F.col("__row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "__row")
+    named = durable(found.join(rows.groupBy("__row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "__row").distinct(), "pipeline-rows")
+    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "__row")).alias("best"))
+    gone = durable(named.filter("n_shingles > 0").join(best, "component_id").filter("__row <> best.__row").select("__row"), "pipeline-gone")
+    kept = rows.join(gone, "__row", "left_anti")
+    again = durable(named.filter("copies > 1 and (n_shingles > 0 or doc_id is not null)").select("__row"), "pipeline-again")
+    if not again.isEmpty():
+        kept = kept.join(again, "__row", "left_anti").unionByName(kept.join(again, "__row", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(docs.columns)
 
 
 def remove_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
