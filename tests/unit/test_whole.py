@@ -84,3 +84,12 @@ def test_every_document_is_a_section(spark):
             n[r.source] = n.get(r.source, 0) + 1
             want[r.source, n[r.source]] = f"Page {r.doc_id}", body
     assert len(want) == 1000 and got == want
+
+
+def test_whole_descriptions_are_checked(spark, monkeypatch):
+    seen = []
+    from strataline.operators import validate
+
+    monkeypatch.setattr(validate, "frontmatter_errors", lambda folder, name, about: seen.append(F.length(about)) or F.array(seen[-1].cast("string")))
+    got = {r.doc_id: int(r.error) for r in catalog.QUERIES["q50_validate_rules"](spark, SF).collect()}
+    assert got == {r.doc_id: 0 if r.doc_id % 6 == 0 else len(r.text) for r in table(spark, "documents")}
