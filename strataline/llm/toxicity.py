@@ -147,13 +147,18 @@ def noisy_or(z: np.ndarray) -> float:
 
 
 def spans(text: str, scores: WordScores, least: float = 0.5) -> list[tuple[int, int, float]]:
-    """(start, end, p) in characters of the sentences that alone reach probability ``least``."""
+    """(start, end, p) in characters of the sentences that carry a text to probability ``least``, in text order.
+
+    The likeliest go first, until what is left stays below ``least``; a text below it has none.
+    """
     found = []
     for piece in re.finditer(r"[^.!?\n]+", text):
         z = sentence_logits(sentences(piece[0]), scores)
-        if len(z) and (p := noisy_or(z)) >= least:
-            found.append((piece.start(), piece.end(), p))
-    return found
+        if len(z):
+            found.append((float(np.logaddexp(0, z).sum()), piece.start(), piece.end(), noisy_or(z)))
+    found.sort(key=lambda x: (x[0], -x[1]))
+    reached = -np.expm1(-np.cumsum([x[0] for x in found]))
+    return sorted(x[1:] for x, p in zip(found, reached, strict=True) if p >= least)
 
 
 def _score(handle):
