@@ -6,9 +6,10 @@ document labels alone, so that the model has to find the sentences that carry
 the label, and scoring names them.
 
 The model is fitted on the driver from a bounded sample of labelled documents
-(``SAMPLE_DOCS`` in hash order, of at most ``SAMPLE_WORDS`` words each); it holds
-one weight per word that occurs in enough of them, which bounds it too.  All
-rows are scored whole.
+(``SAMPLE_DOCS`` of either label in hash order, less those of 20 * ``SAMPLE_WORDS``
+characters or more, which teach nothing); it holds one weight per word that occurs in
+enough of them, which bounds it too.  All rows are scored whole; as the bias is never
+fitted on longer texts, clean ones of such lengths score too high.
 
 Defined results: null and empty texts have no sentences and score 0; labels
 that are null or not 0 or 1 teach nothing; a document labelled both ways counts
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataline.llm.runtime import text_blocks
 
-#: Labelled documents of either label that a model learns from, and the longest of them in words.
+#: Labelled documents of either label that a model learns from, and a 20th of the characters that they stay below.
 SAMPLE_DOCS, SAMPLE_WORDS = 4000, 4000
 #: Byte lengths of the word beginnings that are features beside the whole words.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
