@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.tokens import encoder
+from strataline.llm.shingles import arrow_blocks
+from strataline.llm.tokens import TEXT_BYTES, encoder
 
 #: Turns of one output row.
 TURNS = 256
@@ -56,11 +57,20 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\[\\n]", lambda m: _ROLE_IN[m[0]], unescape(role))
 
 
+def _ids(enc, texts: list[str]) -> list[np.ndarray]:
+    """Ids of every text, some at a time."""
+    out = []
+    for block in arrow_blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])], 0, TEXT_BYTES):
+        ids, offsets = enc.column(block.column(0))
+        out += [ids[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return out
+
+
 def _encode(path: str, train_roles: frozenset[str]):
     def run(batches):
         enc = encoder(path)
         size = enc.tok.get_vocab_size()
-        opens, closes, line = np.array([size], np.uint32), np.array([size + 1], np.uint32), np.frombuffer(enc.encode("\n"), "<u4")
+        opens, closes, line = np.array([size], np.uint32), np.array([size + 1], np.uint32), enc.whole("\n")
         now, chunk, ids, lens, flags, turns = None, 0, [], [], [], 0
         out: list[tuple] = []
 
@@ -86,8 +96,8 @@ def _encode(path: str, train_roles: frozenset[str]):
 
         for b in batches:
             convs, roles, texts = (c.to_pylist() for c in b.columns[:3])
-            heads = [np.frombuffer(enc.encode(_role_out(r)), "<u4") for r in roles]
-            bodies = [np.frombuffer(enc.encode(escape(t)), "<u4") for t in texts]
+            heads = _ids(enc, [_role_out(r) for r in roles])
+            bodies = _ids(enc, [escape(t) for t in texts])
             for conv, role, head, body in zip(convs, roles, heads, bodies, strict=True):
                 if now != (conv,) or turns >= TURNS:
                     if turns:
