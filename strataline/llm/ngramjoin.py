@@ -1,23 +1,30 @@
 """Exact n-gram Jaccard join with set-relation skipping.
 
-A document's set holds the hashes of its distinct shingles; documents with equal
-sets are one class.  Shingles have one global order, frequent ones last: those
-frequent in a block of documents at first, then also those whose index lists came out
-long, for which the index is built once more.  Of sets that link, the first n - ceil(3n / 4) + l shingles share at least l, so that only these
+A document's set holds the hashes of its distinct shingles.  Texts are shingled
+once: sets are stored, one per class of documents with equal sets, and every later
+step reads them.  Shingles have one global order, frequent ones last.  Of sets that
+link, the first n - ceil(3n / 4) + l shingles share at least l, so that only these
 prefixes are indexed (l grows with n).  Index lists are sorted by set size; a pair is
 skipped if its sizes, or the positions at which the two sets hold the shingle, leave
-too small an overlap (whole blocks of a long list at once).
+too small an overlap, and a set leaves a long list if no block of it can hold a partner.
 
 Lists of at most ``SMALL`` sets give their remaining pairs; a pair that such lists
-give l times is compared.  In a longer list every set first meets only its leader.  What that computed answers for the others: sets
-that end in one component need no comparison, and with o the overlaps with the
-leader L, |x and z| <= o(z) + |x| - o(x), which rules out most other pairs; only
-what is left is compared.  Components are thus exact, and a group of n copies costs
-about n comparisons.
+give l times, together with the long lists of either set, is compared.  The sets that
+are in l longer lists meet in groups, one for all lists of much the same sets, into
+which every set travels once.  There one set's overlaps with all others are counted
+over the group's own index; those of a highly similar set are derived from them, by
+the lists of the shingles that differ.  A set whose partners are all known is closed,
+and only sets of different components need an answer, so that a group ends as soon as
+its open sets are connected.  A group hands on the links that join components, fewer
+than it has sets: never its pairs.  Groups too large for a task are cut into parts;
+parts meet only where components still differ.
+
+The order rests on the frequencies of all shingles in all sets; it decides costs, never results.
 
 Defined results: null and empty texts have an empty set and link with nothing; a
 text of fewer than five words is one shingle; repeated rows are one class; null
-doc_ids are members of components but never name one.
+doc_ids are members of components but never name one.  Sets are compared by 64-bit
+hashes of their shingles, and words of up to eight bytes have hashes of their own.
 """
 
 from __future__ import annotations
@@ -26,25 +33,26 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.llm.components import connected_components
-from strataline.llm.runtime import durable, forget, partitions_of, text_blocks
-from strataline.llm.substring import Hashes, _rolled
-
-#: Words of a shingle; links have 7 x overlap >= 3 x (sum of sizes), a Jaccard similarity of 3/4.
-SHINGLE = 5
-#: Longest list that gives its pairs at once; block of a longer list; rows of a list that one task compares.
-SMALL, BLOCK, SPLIT = 32, 64, 20_000
-#: Index buckets per partition of the input.
-BUCKETS = 8
-#: Frequent shingles that the order puts last.  The order decides costs, never results, so the bound is safe.
-HEAVY = 1 << 18
+from strataline.llm.runtime import durable
+from strataline.llm.shingles import arrow_blocks, ranges, shingle_sets
+
+#: Longest list that gives its pairs at once; least block of a longer list.
+SMALL, BLOCK = 32, 64
+#: Weight of the sets that one task compares; a set weighs one, or one per ``UNIT`` shingles.
+SPLIT, UNIT = 4096, 256
+#: Shingles of sets in an index bucket, and buckets of a partition.
+BUCKET_ENTRIES, BUCKETS = 600_000, 4
+#: Sets that make a shingle frequent, and most frequent shingles that the order puts last.  The order decides costs, never results, so the bound is safe.
+OFTEN, HEAVY = 9, 1 << 18
 #: Most rows (of two numbers each) of a side that is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-
-_SEED_SHORT = 5
+#: Bytes of text, or of sets, that a task works on at a time.
+TEXT_BYTES, SET_BYTES = 4 << 20, 8 << 20
 
 
 def required(a, b):
@@ -57,96 +65,156 @@ def shared_least(n):
     return 1 + -((-3 * n) // 4) // 8
 
 
+def _shared_least(n):
+    """The same of a column."""
+    return 1 + F.floor(F.ceil(3 * n / 4) / 8)
+
+
 def room(n, pos, m, at):
     """Most overlap of sets of sizes n and m that hold one shingle at positions pos and at."""
     return np.minimum(pos, at) + np.minimum(n - pos, m - at)
 
 
-def shingle_set(text: str, hashes: Hashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text."""
-    return shingles_of(text.encode("utf-8", "surrogatepass").lower().split(), hashes)
+_FEATURES = "doc_id long, n long, cls long, at long, body binary"
 
 
-def shingles_of(words: list[bytes], hashes: Hashes) -> np.ndarray:
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), _SEED_SHORT)], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(_rolled(h, SHINGLE))
+def _features(batches):
+    """Rows (doc_id, n, cls, at, body); at and body, the set, only where its class is new to the task."""
+    seen, serial = set(), TaskContext.get().partitionId() << 33
+    for block in arrow_blocks(batches, 1, TEXT_BYTES):
+        flat, offsets = shingle_sets(block.column(1))
+        sizes = np.diff(offsets)
+        held = memoryview(flat).cast("B")
+        classes, places, bodies = [], [], []
+        for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            own = held[8 * s : 8 * e]
+            cls = xxhash.xxh3_64_intdigest(own) - (1 << 63) if e > s else None
+            new = cls is not None and cls not in seen
+            classes.append(cls)
+            places.append(serial if new else None)
+            bodies.append(own.tobytes() if new else None)
+            if new:
+                seen.add(cls)
+                serial += 1
+        yield pa.RecordBatch.from_arrays(
+            [block.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(places, pa.int64()), pa.array(bodies, pa.binary())],
+            ["doc_id", "n", "cls", "at", "body"],
+        )
 
 
-def class_of(own: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
+def bodies_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a binary column as one array, and where each begins and ends."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, where, data = column.buffers()
+    offsets = np.frombuffer(where, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view("<u8"), (offsets - offsets[0]) // 8
 
 
-_FEATURES = "doc_id long, n long, cls long, heavy long"
+def _packed(x: np.ndarray) -> bytes:
+    """Bytes of numbers, all lowest ones first: the high ones, mostly zero, then vanish when compressed."""
+    return x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
 
 
-def _features(batches):
-    """Rows (doc_id, n, cls, null), and (null, documents, null, shingle) for shingles frequent in a block."""
-    hashes = Hashes()
-    for rows in text_blocks(batches):
-        ids, sizes, classes, sets = [], [], [], {}
-        for i, text in rows:
-            own = shingle_set(text or "", hashes)
-            ids.append(i)
-            sizes.append(len(own))
-            classes.append(class_of(own) if len(own) else None)
-            sets[classes[-1]] = own
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "n", "cls", "heavy"])
-        found, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        often = times >= max(8, len(sets) // 500)
-        k = int(often.sum())
-        if k:
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[often].astype(np.int64)), pa.nulls(k, pa.int64()), pa.array(found[often].view(np.int64))], ["doc_id", "n", "cls", "heavy"])
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+#: Bits of a shingle's hash that its frequency is counted without: of shingles alike in the rest all count as frequent.
+COARSE = np.uint64(24)
+#: Bits that the index leaves out, too: shingles alike in the rest share a list, which gives more pairs, never fewer.
+FINE = np.uint64(16)
+
+
+def _cut(keys: np.ndarray, buckets: int) -> tuple[list[int], list[int], list[int]]:
+    """Sorted hashes by buckets: their numbers, first and last places."""
+    own = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1], True]) if len(own) else np.zeros(1, np.int64)
+    return own[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()
+
+
+def _payloads(rows: list[tuple[int, bytes]]):
+    for k in range(0, len(rows), 512):
+        part = rows[k : k + 512]
+        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in part], pa.int64()), pa.array([o[1] for o in part], pa.binary())], ["bucket", "payload"])
+
+
+def _tallies(buckets: int):
+    """Rows (bucket, payload): all shingles of a block's sets, sorted."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for block in arrow_blocks(batches, 0, SET_BYTES):
+            h = np.sort(bodies_of(block.column(0))[0])
+            coarse = h >> COARSE
+            yield from _payloads([(k, squeeze.compress(_packed(np.diff(coarse[s:e], prepend=np.uint64(0))))) for k, s, e in zip(*_cut(h, buckets), strict=True)])
+
+    return run
+
+
+def _frequent(least: int):
+    """Shingles (without the last bits) that at least so many sets hold, and how many."""
+
+    def run(sent: pa.Table) -> pa.Table:
+        unsqueeze = zstandard.ZstdDecompressor()
+        h = np.concatenate([np.cumsum(_unpacked(unsqueeze.decompress(x.as_py()), "<u8"), dtype=np.uint64) for x in sent.column("payload")])
+        h.sort()
+        cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+        times = np.diff(cuts)
+        often = times >= least
+        return pa.table({"h": h[cuts[:-1]][often].view(np.int64), "n": times[often]})
+
+    return run
 
 
 def _prefixes(handle, buckets: int):
+    """Rows (bucket, payload): the prefix entries (shingle, class, size, position) of a block's sets."""
+
+    def entries(block: pa.RecordBatch, heavy: np.ndarray, rank: np.ndarray, maybe: np.ndarray):
+        flat, offsets = bodies_of(block.column(1))
+        n = np.diff(offsets)
+        p = n - -(-3 * n // 4) + shared_least(n)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.full(len(flat), -1, np.int64)  # rank among the frequent
+        if len(heavy):
+            asked = np.flatnonzero(maybe[(flat >> np.uint64(42)).astype(np.int64)])
+            coarse = flat[asked] >> COARSE
+            at = np.minimum(np.searchsorted(heavy, coarse), len(heavy) - 1)
+            hit = heavy[at] == coarse
+            order[asked[hit]] = rank[at[hit]]
+        early = order < 0
+        before = np.cumsum(early) - early
+        before -= before[np.minimum(offsets[:-1], len(flat) - 1)][owner]
+        chosen = early & (before < p[owner])
+        rest = p - np.bincount(owner[early], minlength=len(n))
+        parts = [(np.flatnonzero(chosen), before[chosen])]
+        for i in np.flatnonzero(rest > 0).tolist():
+            late = offsets[i] + np.flatnonzero(~early[offsets[i] : offsets[i + 1]])
+            late = late[np.argsort(order[late], kind="stable")][: rest[i]]
+            parts.append((late, p[i] - rest[i] + np.arange(len(late))))
+        at, pos = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+        return flat[at], np.array(block.column(0))[owner[at]], n[owner[at]].astype(np.int32), pos.astype(np.int32)
+
     def run(batches):
-        hashes = Hashes()
-        heavy = handle.value  # (sorted hashes, their rank: the rarest first)
+        heavy, rank = handle.value  # (sorted hashes, their rank: the rarest first)
+        maybe = np.zeros(1 << 22, bool)
+        maybe[(heavy >> (np.uint64(42) - COARSE)).astype(np.int64)] = True
         squeeze = zstandard.ZstdCompressor(level=1)
-        for rows in text_blocks(batches):
-            seen, cols = set(), ([], [], [], [])
-            for _, text in rows:
-                own = shingle_set(text or "", hashes)
-                if not len(own) or (cls := class_of(own)) in seen:
-                    continue
-                seen.add(cls)
-                n = len(own)
-                if len(heavy[0]):
-                    at = np.minimum(np.searchsorted(heavy[0], own), len(heavy[0]) - 1)
-                    last = heavy[0][at] == own
-                    if last.any():
-                        late = own[last]
-                        own = np.concatenate([own[~last], late[np.argsort(heavy[1][at[last]], kind="stable")]])
-                p = n - -(-3 * n // 4) + shared_least(n)
-                cols[0].append(own[:p])
-                cols[1].append(np.full(p, cls, np.int64))
-                cols[2].append(np.full(p, n, np.int32))
-                cols[3].append(np.arange(p, dtype=np.int32))
-            if not seen:
-                continue
-            h, cls, n, pos = (np.concatenate(c) for c in cols)
-            key = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h, key))
-            h, cls, n, pos, key = h[order], cls[order], n[order], pos[order], key[order]
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        for block in arrow_blocks(batches, 1, SET_BYTES):
+            h, cls, n, pos = entries(block, heavy, rank, maybe)
+            order = np.argsort(h)
+            h, cls, n, pos = h[order], cls[order], n[order], pos[order]
             out = []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                gaps = np.diff(h[s:e], prepend=np.uint64(0))
-                body = gaps.tobytes() + n[s:e].tobytes() + pos[s:e].tobytes()
-                out.append((int(key[s]), int(e - s).to_bytes(4, "little") + cls[s:e].tobytes() + squeeze.compress(body)))
-            for k in range(0, len(out), 512):
-                part = out[k : k + 512]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in part], pa.int64()), pa.array([o[1] for o in part], pa.binary())], ["bucket", "payload"])
+            for k, s, e in zip(*_cut(h, buckets), strict=True):
+                body = squeeze.compress(_packed(np.diff(h[s:e] >> FINE, prepend=np.uint64(0))) + _packed(n[s:e]) + _packed(pos[s:e]))
+                out.append((k, (e - s).to_bytes(4, "little") + cls[s:e].tobytes() + body))
+            yield from _payloads(out)
 
     return run
 
 
-_LISTED = "h long, a long, b long, na int, nb int, pos int"
+#: Pairs (a, b, na, nb) of short lists, and sets (head, b, nb) of long ones, each with how often.
+_LISTED = "head long, a long, b long, na int, nb int, times int"
 
 
 def _lists(small: int):
@@ -157,23 +225,29 @@ def _lists(small: int):
 
 
 def _listed(sent: pa.Table, small: int) -> pa.Table:
-    """Pairs (a, b, na, nb, times) of short lists; entries (h, leader, set, leader size, size, pos) of long ones."""
+    """The rows of one bucket of the index."""
     unsqueeze = zstandard.ZstdDecompressor()
     cols = ([], [], [], [])
     for x in sent.column("payload"):
-        raw = x.as_py()
-        k = int.from_bytes(raw[:4], "little")
+        raw = x.as_buffer()
+        k = int.from_bytes(raw[:4].to_pybytes(), "little")
         body = unsqueeze.decompress(raw[4 + 8 * k :])
-        cols[0].append(np.cumsum(np.frombuffer(body[: 8 * k], np.uint64), dtype=np.uint64))
+        cols[0].append(np.cumsum(_unpacked(body[: 8 * k], "<u8"), dtype=np.uint64))
         cols[1].append(np.frombuffer(raw[4 : 4 + 8 * k], np.int64))
-        cols[2].append(np.frombuffer(body[8 * k : 12 * k], np.int32))
-        cols[3].append(np.frombuffer(body[12 * k :], np.int32))
+        cols[2].append(_unpacked(body[8 * k : 12 * k], "<i4"))
+        cols[3].append(_unpacked(body[12 * k :], "<i4"))
     h, cls, n, pos = (np.concatenate(c) for c in cols)
-    order = np.lexsort((cls, n, h))
+    del cols
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
+    met = order[np.r_[same, False] | np.r_[False, same]]  # most shingles are one set's own
+    h, cls, n, pos = h[np.r_[same, False] | np.r_[False, same]], cls[met], n[met], pos[met]
+    order = np.lexsort((pos, cls, n, h))
     h, cls, n, pos = h[order], cls[order], n[order], pos[order]
-    once = np.r_[True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1])]
+    once = np.r_[True, (h[1:] != h[:-1]) | (cls[1:] != cls[:-1]) | (pos[1:] != pos[:-1])][: len(h)]
     h, cls, n, pos = h[once], cls[once], n[once], pos[once]
-    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+    cuts = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True]) if len(h) else np.zeros(1, np.int64)
     size = np.repeat(np.diff(cuts), np.diff(cuts))
     short = np.flatnonzero((size > 1) & (size <= small))
     found = []
@@ -184,184 +258,281 @@ def _listed(sent: pa.Table, small: int) -> pa.Table:
             break
         j = i + k
         need = required(n[i].astype(np.int64), n[j])
-        ok = (room(n[i], pos[i], n[j], pos[j]) >= need) & (4 * n[i].astype(np.int64) >= 3 * n[j])
+        ok = (room(n[i], pos[i], n[j], pos[j]) >= need) & (4 * n[i].astype(np.int64) >= 3 * n[j]) & (cls[i] != cls[j])
         i, j = i[ok], j[ok]
         swap = cls[i] > cls[j]
         found.append(np.stack([np.where(swap, cls[j], cls[i]), np.where(swap, cls[i], cls[j]), np.where(swap, n[j], n[i]), np.where(swap, n[i], n[j])], axis=1))
-    pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True) if found else (np.empty((0, 4), np.int64), np.empty(0, np.int64))
-    longs = []
-    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+    pairs, times = _counted(np.concatenate(found) if found else np.empty((0, 4), np.int64))
+    out = [_rows(None, *pairs.T, times)]
+    long_ones = [np.empty((0, 3), np.int64)]
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if e - s > small:
-            while s < e:
-                # a leader serves the sizes that can link with the smallest one
-                z = s + int(np.searchsorted(n[s:e], 4 * int(n[s]) // 3, "right"))
-                lead = s + int(np.argmin(cls[s:z]))
-                longs.append((h[s:z].view(np.int64), np.full(z - s, cls[lead]), cls[s:z], np.full(z - s, n[lead]), n[s:z], pos[s:z]))
-                s = z
-    out = [pa.table({"h": pa.nulls(len(pairs), pa.int64()), "a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32), "pos": times.astype(np.int32)})]
-    if longs:
-        c = [np.concatenate(x) for x in zip(*longs, strict=True)]
-        out.append(pa.table({"h": c[0], "a": c[1], "b": c[2], "na": c[3].astype(np.int32), "nb": c[4].astype(np.int32), "pos": c[5].astype(np.int32)}))
-    return pa.concat_tables(out)
+            own = s + np.flatnonzero(_has_room(n[s:e].astype(np.int64), pos[s:e].astype(np.int64)))
+            if len(own):
+                long_ones.append(np.stack([np.full(len(own), cls[own].min()), cls[own], n[own]], axis=1))
+    once, times = _counted(np.concatenate(long_ones))
+    return pa.concat_tables([*out, _rows(once[:, 0], None, once[:, 1], None, once[:, 2], times)])
+
+
+def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of numbers, told apart by the first two, and how often each was there."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    cuts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True]) if len(rows) else np.zeros(1, np.int64)
+    return rows[cuts[:-1]], np.diff(cuts)
 
 
-#: Pairs that a task holds before it removes repeats.
-HELD = 500_000
+def _rows(head, a, b, na, nb, times) -> pa.Table:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    cols = [pa.nulls(len(times), t) if x is None else pa.array(np.asarray(x), pa.int64()).cast(t) for x, t in zip((head, a, b, na, nb, times), types, strict=True)]
+    return pa.table(cols, ["head", "a", "b", "na", "nb", "times"])
 
 
-def _rest(rows: pa.Table) -> pa.Table:
-    """Pairs of long lists (or of two parts of them) that sizes, positions, components and leaders leave open.
+def _has_room(n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Which sets of one list, sorted by size, some block of it may hold a partner of.
 
-    The lists of one head come together: a passage's shingles have much the same lists, so that most
-    repeats of a pair are removed here, and lists with the same sets are looked through once.
+    At best a set of the block holds the shingle as early and as late as any of the block does.
     """
-    c = {k: rows.column(k).to_numpy() for k in ("h", "b", "nb", "pos", "comp", "lead", "over", "part", "lo", "hi")}
-    order = np.lexsort((c["b"], c["nb"], c["h"]))
-    c = {k: v[order] for k, v in c.items()}
-    cuts = np.flatnonzero(np.r_[True, c["h"][1:] != c["h"][:-1], True])
-    seen, out, held = set(), [np.empty((0, 4), np.int64)], 0
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        own = c["b"][s:e].tobytes()
-        if own in seen:
-            continue
-        seen.add(own)
-        for pairs in _left_open({k: v[s:e] for k, v in c.items()}):
-            out.append(pairs)
-            held += len(pairs)
-            if held > HELD:
-                out = [np.unique(np.concatenate(out), axis=0)]
-                held = 0
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "na": pairs[:, 2].astype(np.int32), "nb": pairs[:, 3].astype(np.int32)})
-
-
-def _left_open(c: dict[str, np.ndarray]):
-    """Open pairs of one list, sorted by size, block by block."""
-    one, two = np.flatnonzero(c["part"] == c["lo"]), np.flatnonzero(c["part"] == c["hi"])
-    same = bool(len(one)) and c["lo"][0] == c["hi"][0]
-    n, pos = c["nb"].astype(np.int64), c["pos"].astype(np.int64)
-    for k in range(0, len(two), BLOCK):
-        blk = two[k : k + BLOCK]
-        comps = np.unique(c["comp"][blk])
-        least, most = n[blk].min(), n[blk].max()
-        # at best a set of the block holds the shingle as early or late as this one does
-        early, late = pos[blk].max(), (n[blk] - pos[blk]).max()
-        # sets that this block's sizes, positions and components leave
-        x = one[(4 * n[one] >= 3 * least) & (3 * n[one] <= 4 * most)]
-        x = x[(np.minimum(pos[x], early) + np.minimum(n[x] - pos[x], late) >= required(n[x], least)) & ((len(comps) > 1) | (c["comp"][x] != comps[0]))]
-        if not len(x):
-            continue
-        i, j = (a.ravel() for a in np.meshgrid(x, blk, indexing="ij"))
-        need = required(n[i], n[j])
-        ok = (c["comp"][i] != c["comp"][j]) & (room(n[i], pos[i], n[j], pos[j]) >= need)
-        ok &= (4 * n[i] >= 3 * n[j]) & (4 * n[j] >= 3 * n[i])
-        if same:
-            ok &= i < j
-        # the leader's answers bound the others': |x and z| <= o(z) + |x| - o(x)
-        derived = np.minimum(c["over"][j] + n[i] - c["over"][i], c["over"][i] + n[j] - c["over"][j])
-        ok &= (c["lead"][i] != c["lead"][j]) | (derived >= need)
-        i, j = i[ok], j[ok]
-        swap = c["b"][i] > c["b"][j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        yield np.stack([c["b"][i], c["b"][j], n[i], n[j]], axis=1)
-
-
-def _bodies(batches):
-    """(cls, body) of the rows whose text is of the class asked for: its words, compressed, once in a task."""
-    hashes, squeeze, seen = Hashes(), zstandard.ZstdCompressor(level=3), set()
-    for b in batches:
-        out = []
-        for cls, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if cls not in seen:
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                own = shingles_of(words, hashes)
-                if len(own) and class_of(own) == cls:
-                    seen.add(cls)
-                    out.append((cls, squeeze.compress(b" ".join(words))))
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["cls", "body"])
-
-
-def _overlaps(batches):
-    """Intersection sizes; the rows of one set a follow each other, so that it is unpacked once."""
-    hashes, unsqueeze = Hashes(), zstandard.ZstdDecompressor()
-    now, left = None, None
-    for b in batches:
-        over = []
-        for a, xb, yb in zip(b.column(0).to_pylist(), b.column(4), b.column(5), strict=True):
-            if a != now:
-                now, left = a, shingles_of(unsqueeze.decompress(xb.as_py()).split(), hashes)
-            over.append(len(np.intersect1d(left, shingles_of(unsqueeze.decompress(yb.as_py()).split(), hashes), assume_unique=True)))
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(over, pa.int32())], ["a", "b", "na", "nb", "over"])
-
-
-def overlaps(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, na, nb, over) of pairs of classes: the size of their sets' intersection.
-
-    Only the texts that some pair needs travel, as compressed words.
+    k = len(n)
+    step = max(BLOCK, k // 512)
+    starts = np.arange(0, k, step)
+    least, most = n[starts], np.maximum.reduceat(n, starts)
+    early, late = np.maximum.reduceat(pos, starts), np.maximum.reduceat(n - pos, starts)
+    alone = np.diff(np.r_[starts, k]) == 1
+    out = np.zeros(k, bool)
+    for b in range(len(starts)):
+        ok = (4 * n >= 3 * least[b]) & (3 * n <= 4 * most[b])
+        ok &= np.minimum(pos, early[b]) + np.minimum(n - pos, late[b]) >= required(n, least[b])
+        if alone[b]:
+            ok[starts[b]] = False
+        out |= ok
+    return out
+
+
+class Group:
+    """Sets of one group: an index of their own shingles, and the components found so far."""
+
+    def __init__(self, flat: np.ndarray, offsets: np.ndarray, comp: np.ndarray, side: np.ndarray | None = None):
+        m = len(offsets) - 1
+        self.n = np.diff(offsets)
+        self.comp, self.side, self.links = comp.copy(), side, []
+        self.closed = np.zeros(m, bool)
+        owner = np.repeat(np.arange(m, dtype=np.int32), self.n)
+        order = np.argsort(flat, kind="stable")
+        ranked = flat[order]
+        cuts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1], True])
+        lens = np.diff(cuts)
+        # shingles of one set only say nothing about overlaps
+        kept = np.repeat(lens > 1, lens)
+        self.lens = lens[lens > 1]
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.holders = owner[order[kept]]
+        code = np.full(len(flat), -1, np.int64)
+        code[order[kept]] = np.repeat(np.arange(len(self.lens)), self.lens)
+        shared = code >= 0
+        self.codes = code[shared]
+        self.at = np.r_[0, np.cumsum(np.bincount(owner[shared], minlength=m))]
+
+    def own(self, x: int) -> np.ndarray:
+        return self.codes[self.at[x] : self.at[x + 1]]
+
+    def counted(self, codes: np.ndarray) -> np.ndarray:
+        """How many of these shingles each set holds."""
+        return np.bincount(self.holders[ranges(self.starts[codes], self.lens[codes])], minlength=len(self.n))
+
+    def partners(self, x: int) -> np.ndarray:
+        """Sets whose link with x is open: sizes that can link, another component, x not yet asked by them."""
+        ok = (self.comp != self.comp[x]) & ~self.closed & (4 * self.n >= 3 * self.n[x]) & (3 * self.n <= 4 * self.n[x])
+        return ok if self.side is None else ok & (self.side != self.side[x])
+
+    def settle(self, x: int, over: np.ndarray, open_: np.ndarray) -> None:
+        for z in np.flatnonzero(open_ & (7 * over >= 3 * (self.n + self.n[x]))).tolist():
+            old = self.comp[z]
+            if old != self.comp[x]:
+                self.links.append((x, z))
+                self.comp[self.comp == old] = self.comp[x]
+        self.closed[x] = True
+
+    def run(self) -> list[tuple[int, int]]:
+        """Links that join the components of all linked sets."""
+        mark = np.zeros(len(self.lens) + 1, bool)
+        _, where, members = np.unique(self.comp, return_inverse=True, return_counts=True)
+        # sets of large components last: they need no answer once all others are closed
+        for x in np.lexsort((self.n, members[where])).tolist():
+            if self.closed[x]:
+                continue
+            open_ = self.partners(x)
+            if not open_.any():
+                continue  # whoever finds a partner later asks itself
+            own = self.own(x)
+            over = self.counted(own)
+            self.settle(x, over, open_)
+            mark[own] = True
+            apart = np.diff(self.at)[x] + np.diff(self.at) - 2 * over
+            for z in np.flatnonzero(~self.closed & (2 * apart < np.diff(self.at))).tolist():
+                open_ = self.partners(z)
+                if not open_.any():
+                    continue
+                other = self.own(z)
+                more = other[~mark[other]]
+                mark[other] = False
+                less = own[mark[own]]
+                mark[own] = True
+                self.settle(z, over + self.counted(more) - self.counted(less), open_)
+            mark[own] = False
+        return self.links
+
+
+_SENT, _EDGES = "bucket long, payload binary", "a long, b long"
+
+
+def _grouped(rows: pa.Table) -> pa.Table:
+    """Links inside one group (or between two parts of one) that join components."""
+    rows = rows.combine_chunks()
+    cls, comp, part = (rows.column(c).to_numpy() for c in ("b", "comp", "part"))
+    body = rows.column("body")
+    flat, offsets = bodies_of(body.chunk(0) if body.num_chunks else pa.array([], pa.binary()))
+    known, comp = np.unique(comp, return_inverse=True)
+    side = part if len(part) and part.min() != part.max() else None
+    links = Group(flat, offsets, comp, side).run() if len(known) > 1 else []
+    a, b = (cls[[x[k] for x in links]] if links else np.empty(0, np.int64) for k in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def _compared(batches):
+    """Overlaps of pairs; a set's own row (null b) comes before the rows of its partners."""
+    now, own = None, np.empty(0, np.uint64)
+    for batch in batches:
+        for rows in arrow_blocks([batch], 4, SET_BYTES):
+            flat, offsets = bodies_of(rows.column(4))
+            over = []
+            for a, b, s, e in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                if b is None:
+                    now, own = a, flat[s:e].copy()
+                    over.append(None)
+                else:
+                    assert a == now
+                    both = np.concatenate([own, flat[s:e]])
+                    both.sort()
+                    over.append(int((both[1:] == both[:-1]).sum()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(over, pa.int32())], ["a", "b", "na", "nb", "over"])
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """A table read from the shared folder, to be broadcast if its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _bodies(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, body), once for each of the wanted classes; only their sets travel."""
+    places = durable(sets.select("cls", "at").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("at").alias("at")).select("at"), "ngram-places")
+    return sets.join(_checked(places), "at").select("cls", "body")
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, over) of distinct pairs of classes: the size of their sets' intersection."""
+    pairs = durable(pairs.select("a", "b", "na", "nb"), "ngram-pairs")
+    bodies = _bodies(sets, pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
+    nothing = F.lit(None)
+    partners = bodies.withColumnRenamed("cls", "b").join(_checked(pairs), "b").select("a", "b", "na", "nb", "body")
+    firsts = bodies.join(_checked(durable(pairs.select(F.col("a").alias("cls")).distinct(), "ngram-firsts")), "cls")
+    firsts = firsts.select(F.col("cls").alias("a"), nothing.cast("long").alias("b"), nothing.cast("int").alias("na"), nothing.cast("int").alias("nb"), "body")
+    met = firsts.unionByName(partners).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
+    return durable(met.mapInArrow(_compared, "a long, b long, na int, nb int, over int").filter("b is not null"), "ngram-overlap")
+
+
+#: The condition of a link on a row of ``overlaps``.
+_LINKED = "7 * `over` >= 3 * (na + nb)"
+
+
+def _met(entries: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
+    """Links inside groups of entries (b, comp, part and the group's keys)."""
+    entries = durable(entries, "ngram-entries")
+    bodies = _bodies(sets, entries.select(F.col("b").alias("cls")).distinct()).withColumnRenamed("cls", "b")
+    return durable(bodies.join(_checked(entries), "b").groupBy(*keys).applyInArrow(_grouped, _EDGES), "ngram-links")
+
+
+def _parts(entries: DataFrame, split: int, *order: str) -> DataFrame:
+    """Parts of at most about ``split`` weight of every head's sets, in the given order."""
+    before = Window.partitionBy("head").orderBy(*order, "nb", "b").rowsBetween(Window.unboundedPreceding, -1)
+    return entries.withColumn("part", F.floor(F.coalesce(F.sum("weight").over(before), F.lit(0)) / split).cast("int"))
+
+
+def group_links(entries: DataFrame, sets: DataFrame, edges: DataFrame, split: int) -> DataFrame:
+    """Links (a, b) that join what is linked inside the groups ``entries`` (head, b, nb, weight) to what ``edges`` join."""
+    heads = durable(entries.groupBy("head").agg(F.sum("weight").alias("held")), "ngram-sizes")
+    large = heads.filter(F.col("held") > split).select("head")
+    whole = entries.join(large, "head", "left_anti").select("head", "b", F.lit(0).alias("part"), F.col("b").alias("comp"))
+    if large.isEmpty():
+        return _met(whole, sets, ["head"])
+    # large groups: each part for itself, then only what still differs
+    entries = durable(entries.join(large, "head", "left_semi"), "ngram-large")
+    first = _parts(entries, split).select("head", "b", "part", F.col("b").alias("comp"))
+    links = _met(whole.unionByName(first), sets, ["head", "part"])
+    comp = durable(connected_components(edges.unionByName(links)), "ngram-comp").withColumnsRenamed({"node": "b", "component": "comp"})
+    entries = entries.join(comp, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
+    differ = entries.groupBy("head").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("head")
+    entries = durable(_parts(entries.join(differ, "head", "left_semi"), split, "comp"), "ngram-parts")
+    parts = durable(entries.groupBy("head", "part").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("nb").alias("n0"), F.max("nb").alias("n1")), "ngram-ranges")
+    one, two = parts.alias("one"), parts.alias("two")
+    meets = one.join(two, (F.col("one.head") == F.col("two.head")) & (F.col("one.part") <= F.col("two.part")))
+    meets = meets.filter("not (one.c0 = one.c1 and two.c0 = two.c1 and one.c0 = two.c0)").filter("4 * one.n1 >= 3 * two.n0 and 4 * two.n1 >= 3 * one.n0")
+    meets = durable(meets.select(F.col("one.head").alias("head"), F.col("one.part").alias("lo"), F.col("two.part").alias("hi")), "ngram-meets")
+    sent = meets.select("head", "lo", "hi", F.col("lo").alias("part")).unionByName(meets.filter("lo < hi").select("head", "lo", "hi", F.col("hi").alias("part")))
+    rest = _met(entries.join(sent, ["head", "part"]).select("head", "lo", "hi", "b", "part", "comp"), sets, ["head", "lo", "hi"])
+    return links.unionByName(rest)
+
+
+def _one_head(entries: DataFrame) -> DataFrame:
+    """Entries with the groups of much the same sets under one head.
+
+    A head is a set; where the first group that holds it holds at least half of its own group, too, the
+    two become one.  A group of more pairs than needed is as exact.
     """
-    pairs = durable(pairs, "ngram-pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id")
-    where = durable(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min(rank).alias("at")).select("cls", F.col("at.doc_id").alias("at")), "ngram-where")
-    side = F.broadcast(where) if where.count() <= BROADCAST_ROWS else where
-    rows = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("at"))).select("cls", "text")
-    bodies = durable(rows.mapInArrow(_bodies, "cls long, body binary"), "ngram-bodies")
-    both = pairs.join(bodies.select(F.col("cls").alias("b"), F.col("body").alias("yb")), "b").join(bodies.select(F.col("cls").alias("a"), F.col("body").alias("xb")), "a")
-    found = durable(both.select("a", "b", "na", "nb", "xb", "yb").mapInArrow(_overlaps, "a long, b long, na int, nb int, over int").distinct(), "ngram-overlap")
-    forget(bodies)
-    return found
+    first = entries.groupBy("b").agg(F.min("head").alias("to"))
+    moves = entries.select("head").distinct().join(first, F.col("head") == F.col("b")).filter("to < head").select("head", "to")
+    there = entries.select(F.col("head").alias("to"), "b")
+    counts = entries.join(moves, "head").join(there.withColumn("there", F.lit(1)), ["to", "b"], "left").groupBy("head", "to").agg(F.count("*").alias("rows"), F.count("there").alias("both"))
+    moves = counts.filter("2 * both >= rows").select("head", "to")
+    return entries.join(moves, "head", "left").select(F.coalesce("to", "head").alias("head"), "b", "nb").distinct()
 
 
 def ngram_components(docs: DataFrame, small: int = SMALL, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    known = durable(rows.mapInArrow(_features, _FEATURES), "ngram-features")
-    members = known.filter("heavy is null").select("doc_id", "n", "cls")
-    often = known.filter("heavy is not null").groupBy(F.col("heavy").alias("h")).agg(F.sum("n").alias("n"))
-    buckets = partitions_of(rows) * BUCKETS
-
-    def index(frequent: DataFrame) -> DataFrame:
-        last = frequent.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
-        hashes, rank = last["h"].to_numpy(np.int64).view(np.uint64), np.argsort(np.lexsort((last["h"], last["n"])))
-        order = np.argsort(hashes)
-        handle = spark.sparkContext.broadcast((hashes[order], rank[order]))
-        sent = rows.mapInArrow(_prefixes(handle, buckets), "bucket long, payload binary")
-        return durable(sent.groupBy("bucket").applyInArrow(_lists(small), _LISTED), "ngram-lists")
-
-    listed = index(often)
-    long_ones = listed.filter("h is not null").groupBy("h").agg(F.count("*").alias("n"))
-    if not long_ones.isEmpty():
-        # shingles that blocks found rare but the corpus does not: behind the others they are in few prefixes
-        first_listed, listed = listed, index(often.unionByName(long_ones).groupBy("h").agg(F.max("n").alias("n")))
-        forget(first_listed)
-
-    linked = 7 * F.col("over") >= 3 * (F.col("na") + F.col("nb"))
-    longs = listed.filter("h is not null")
-    smaller = F.least("na", "nb")
-    enough = 1 + F.floor(F.ceil(3 * smaller / 4) / 8)
-    often_met = listed.filter("h is null").groupBy("a", "b", "na", "nb").agg(F.sum("pos").alias("times")).filter(F.col("times") >= enough)
-    first = longs.filter("a <> b").select("a", "b", "na", "nb").unionByName(often_met.drop("times"))
-    ordered = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "na", "nb")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb")))
-    first = first.select(ordered.alias("p")).select("p.*").distinct()
-    answers = overlaps(first, rows, members)
-    edges = answers.filter(linked).select("a", "b")
-    if not longs.isEmpty():
-        comp = durable(connected_components(edges), "ngram-comp").withColumnsRenamed({"node": "b", "component": "comp"})
-        either = answers.select("a", "b", "over").union(answers.select("b", "a", "over"))
-        known_over = longs.join(either, ["a", "b"], "left").withColumn("over", F.coalesce("over", F.when(F.col("a") == F.col("b"), F.col("nb")), F.lit(0)))
-        entries = known_over.join(comp, "b", "left").withColumn("comp", F.coalesce("comp", "b"))
-        entries = durable(entries.select("h", F.col("a").alias("lead"), "b", "nb", "pos", "over", "comp"), "ngram-long")
-        mixed = entries.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("b").alias("head"), F.count("*").alias("rows")).filter("c0 <> c1")
-        mixed = durable(mixed.select("h", "head", "rows"), "ngram-mixed")
-        parts = mixed.groupBy("head").agg(F.ceil(F.sum("rows") / split).cast("int").alias("parts"))
-        spread = entries.join(mixed.select("h", "head"), "h").join(parts, "head").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        spread = spread.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("other", "parts")
-        left = durable(spread.groupBy("head", "lo", "hi").applyInArrow(_rest, "a long, b long, na int, nb int").distinct(), "ngram-rest")
-        left = left.join(answers.select("a", "b"), ["a", "b"], "left_anti")
-        if not left.isEmpty():
-            edges = edges.union(overlaps(left, rows, members).filter(linked).select("a", "b"))
+    known = durable(rows.mapInArrow(_features, _FEATURES), "ngram-sets", compression="uncompressed")
+    members = known.select("doc_id", "n", "cls")
+    sets = known.filter("at is not null").select("at", "cls", "n", "body")
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + size // BUCKET_ENTRIES
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS)
+
+    told = sets.select("body").mapInArrow(_tallies(buckets), _SENT).repartition(spread, "bucket")
+    often = durable(told.groupBy("bucket").applyInArrow(_frequent(OFTEN), "h long, n long"), "ngram-frequent")
+    last = often.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
+    hashes, rank = last["h"].to_numpy(np.int64).view(np.uint64), np.argsort(np.lexsort((last["h"], last["n"])))
+    order = np.argsort(hashes)
+    handle = spark.sparkContext.broadcast((hashes[order], rank[order]))
+    sent = sets.select("cls", "body").mapInArrow(_prefixes(handle, buckets), _SENT).repartition(spread, "bucket")
+    listed = durable(sent.groupBy("bucket").applyInArrow(_lists(small), _LISTED), "ngram-lists")
+
+    # with no short list in common, sets that link share enough long ones; a partner has three quarters of the size at least
+    met = listed.filter("head is not null")
+    held = durable(met.groupBy("b").agg(F.sum("times").alias("held"), F.max("nb").alias("n")), "ngram-held")
+    fit = held.filter(F.col("held") >= _shared_least(F.ceil(3 * F.col("n") / 4))).select("b")
+    entries = durable(_one_head(durable(met.select("head", "b", "nb").join(fit, "b", "left_semi").distinct(), "ngram-groups")), "ngram-heads")
+    entries = entries.withColumn("weight", F.greatest(F.lit(1.0), F.col("nb") / UNIT))
+
+    # other pairs: what they share in short lists, and at most share in long ones
+    side = _checked(held)
+    short = listed.filter("head is null").groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("times"))
+    for x in ("a", "b"):
+        short = short.join(side.select(F.col("b").alias(x), F.col("held").alias(f"held_{x}")), x, "left")
+    most = F.col("times") + F.coalesce(F.when(F.col("held_a") < F.col("held_b"), F.col("held_a")).otherwise(F.col("held_b")), F.lit(0))
+    often_met = short.filter(F.when(F.col("held_a").isNull() | F.col("held_b").isNull(), F.col("times")).otherwise(most) >= _shared_least(F.least("na", "nb")))
+    edges = overlaps(often_met, sets).filter(_LINKED).select("a", "b")
+    if not entries.isEmpty():
+        edges = edges.unionByName(group_links(entries, sets, edges, split))
     comp = durable(connected_components(edges), "ngram-comp").withColumnRenamed("node", "cls")
     labelled = members.join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     names = labelled.filter("cls is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))

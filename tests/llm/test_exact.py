@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -14,9 +15,11 @@ from strataline.llm import queries
 from strataline.llm.components import connected_components
 from strataline.llm.decontam import EDITS, Benchmark, find_passages
 from strataline.llm.mixing import measured, mix
-from strataline.llm.ngramjoin import ngram_components, required
+from strataline.llm.ngramjoin import Group, ngram_components, required
 from strataline.llm.runtime import table
+from strataline.llm.shingles import shingle_sets, text_bytes, word_hashes
 from strataline.llm.substring import Hashes, remove_repeats
+from strataline.llm.tokens import Encoder, pieces_of, tokenise
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,6 +74,60 @@ def test_long_lists_lose_no_link(spark):
     assert len({c for *_, c in want}) < 160
 
 
+def test_a_large_group_of_near_copies(spark):
+    """Copies some of which link with few others: every link of one long group, in one part and in many."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(70)]
+    texts = {}
+    for i in range(400):
+        own = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3])):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+        texts[i] = " ".join(own)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = components(texts)
+    assert 1 < len({c for *_, c in want}) < 400
+    for split in (4096, 60):
+        assert sorted(tuple(r) for r in ngram_components(frame, split=split).collect()) == want
+
+
+def test_group_against_all_pairs():
+    rng = np.random.default_rng(4)
+    for seed in range(40):
+        base = [np.unique(rng.integers(0, 300, rng.integers(5, 60)).astype(np.uint64)) for _ in range(3)]
+        sets = []
+        for _ in range(30):
+            own = base[rng.integers(3)].copy()
+            own[rng.integers(0, len(own), rng.integers(0, 6))] = rng.integers(1000, 1100)
+            sets.append(np.unique(own))
+        side = np.array([seed % 3 and k % 2 for k in range(30)])
+        name = list(range(30))
+        for a in range(30):
+            for b in range(a):
+                over = len(np.intersect1d(sets[a], sets[b]))
+                if (side.min() == side.max() or side[a] != side[b]) and 4 * over >= 3 * (len(sets[a]) + len(sets[b]) - over):
+                    name = [name[a] if x == name[b] else x for x in name]
+        links = Group(np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])], np.arange(30), side if side.min() != side.max() else None).run()
+        assert len(links) == 30 - len(set(name))
+        assert all(name[a] == name[b] for a, b in links)
+
+
+def test_shingle_sets():
+    rng = random.Random(3)
+    known = {}
+    for _ in range(200):
+        texts = [rng.choice([None, "", " ", "Aé　b\x85c\x1cd  e\tf\x0bg", "w" * rng.randrange(200), " ".join(rng.choice(["a", "B", "c" * 9, "d" * 17, "e" * 64, "f" * 65]) for _ in range(rng.randrange(12)))]) for _ in range(rng.randrange(8))]
+        column = pa.array(["cut off", *texts], pa.string()).slice(1)
+        hashes, places = word_hashes(column)
+        sets, offsets = shingle_sets(column)
+        for i, text in enumerate(texts):
+            words = (text or "").translate(LOWER).encode().split()
+            own = hashes[places[i] : places[i + 1]].tolist()
+            assert len(own) == len(words) and all(known.setdefault(w, h) == h for w, h in zip(words, own))
+            assert offsets[i + 1] - offsets[i] == (len({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}) if words else 0)
+    assert len(set(known.values())) == len(known)
+
+
 def test_required_overlap():
     for a in range(1, 60):
         for b in range(1, 60):
@@ -205,3 +262,61 @@ def test_pipeline_stages(spark):
     before, after = seen["token_output"]
     assert sorted(before.doc_id) == sorted(after.doc_id) and sorted(after.start)[0] == 0
     assert after.start.max() + after.n_tokens[after.start.idxmax()] == after.n_tokens.sum()
+
+
+def test_pieces_are_the_whole_text_and_ids_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    own, rng = Encoder(path), random.Random(7)
+    parts = ["a", "The", "it's", "we'll", "'", " ", "  ", "\n", "\n\n", "\t", "é", "　", "\x85", "\x1c", "\U000323b0", "12", "½", "!", "a,b", "...", "<|endoftext|>", "中", "\r\n", "᠎", "​", "\x00", "�", "\U0001f600", "x" * 600]
+    for k in range(50):
+        texts = [None if rng.random() < 0.05 else "".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(rng.randrange(30))]
+        # characters of every plane, those without a meaning yet included
+        texts += ["".join(chr(c) for c in rng.choices([*range(0xD800), *range(0xE000, 0x110000, 7)], k=6)) + rng.choice(["'s", " a", "1", "\n"]) for _ in range(20)]
+        column = pa.array(["cut off", *texts], pa.string()).slice(1)
+        data, offsets = text_bytes(column)
+        at, size = pieces_of(data, offsets)
+        assert (np.diff(at, append=offsets[-1]) == size).all() and (size > 0).all()
+        if k % 10 == 9:
+            own.forget()
+        ids, bounds = own.column(column)
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == tok.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    ids, bounds = Encoder(path).column(pa.array(["Two Words", None, "x  y"]))
+    assert not Encoder(path).by_pieces
+    assert [ids[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in ("Two Words", "", "x  y")]
+
+
+def test_stripes_indexes_and_bloom_filters(spark):
+    """The files hold what lookups by doc_id skip by."""
+    import pyarrow.orc as orc
+
+    docs = spark.createDataFrame([(2 * i, f"text of document {i} " * 30) for i in range(4000)], "doc_id long, text string")
+    import public_tokenizers
+
+    _, path = tokenise(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    files = [f for f in spark.read.orc(path).inputFiles()]
+    assert len(files) > 1
+    bounds = []
+    for f in files:
+        meta = orc.ORCFile(f.removeprefix("file://").replace("file:", ""))
+        assert meta.row_index_stride == 1000 and meta.nstripes >= 1
+        ids = meta.read(columns=["doc_id"]).column("doc_id").to_pylist()
+        assert ids == sorted(ids)
+        bounds.append((ids[0], ids[-1]))
+    bounds.sort()
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    assert spark.read.orc(path).filter("doc_id = 4001").count() == 0 and spark.read.orc(path).filter("doc_id = 4000").count() == 1
