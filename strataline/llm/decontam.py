@@ -16,8 +16,14 @@ it (bit-parallel, free at the text's ends): at most ``EDITS`` of the item's word
 Sizes, repetitions and bits aim at a recall of 0.95 for passages with edits in a
 tenth of their words; exact copies are always found.
 
-Defined results: null and empty texts and items match nothing; items too short
-for the smallest class match exactly only; repeated items count each; an item
+Items of fewer than ``SHORTEST`` words have no room for windows; they are found by all
+their edits instead: with k edits allowed, one of k + 1 segments of the item is left
+whole, so that every place that holds a segment is a candidate, and recall is 1.
+
+Defined results: null and empty texts and items match nothing; items of fewer than
+five words allow no edit; repeated items count each; ``start`` is the first word of
+the nearest alignment that ends first (of equal ones the one nearest the item's
+length); an item
 occurring several times in a document gives one row, the nearest, then first.
 """
 
@@ -35,6 +41,8 @@ from strataline.llm.substring import Hashes, _rolled
 
 #: Window sizes in words, steps of the walk per word of a window, and every how many words a document has a window.
 SIZES, PACE, STRIDE = (8, 12, 16, 24, 32, 48), 1.5, 4
+#: Items of fewer words are found by their segments.
+SHORTEST = 16
 #: Repetitions of the sampling, and sampled steps of each.
 REPEATS, BITS = 4, 4
 #: Share of an item's words that may be edited.
@@ -82,8 +90,8 @@ class Benchmark:
 
     def __init__(self, items: list[tuple[int, str]]):
         hashes = Hashes()
-        self.ids, self.words, self.masks = [], [], []
-        keys, owners, self.short = [], [], {}
+        self.ids, self.words, self.masks, self.own = [], [], [], []
+        keys, owners, segments = [], [], {}
         used = set()
         for item, text in items:
             own = symbols(text or "", hashes)
@@ -96,10 +104,13 @@ class Benchmark:
             for i, w in enumerate(own.tolist()):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
-            fits = [c for c, size in enumerate(SIZES) if size + STRIDE - 1 <= len(own)]
-            if not fits:
-                self.short.setdefault(len(own), {}).setdefault(int(_rolled(own, len(own))[0]), []).append(k)
+            self.own.append(own)
+            if len(own) < SHORTEST:
+                cuts = [i * len(own) // (int(EDITS * len(own)) + 1) for i in range(int(EDITS * len(own)) + 2)]
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    segments.setdefault(e - s, []).append((int(_rolled(own[s:e], e - s)[0]), k, s))
                 continue
+            fits = [c for c, size in enumerate(SIZES) if size + STRIDE - 1 <= len(own)]
             stream = np.r_[own, np.zeros(_STEPS, np.uint64)]
             for c in fits:
                 tiles = range(0, len(own) - SIZES[c] + 1, SIZES[c] // 2)
@@ -108,6 +119,8 @@ class Benchmark:
                     keys.append(row)
                     owners.append(np.stack([np.full(len(starts), c * REPEATS + r), np.full(len(starts), k), starts], axis=1))
                 used.add(c)
+        #: size: (sorted hashes, items and offsets) of the segments of short items
+        self.segments = {n: (np.array([x[0] for x in sorted(own)], np.uint64), np.array([x[1:] for x in sorted(own)], np.int64)) for n, own in segments.items()}
         self.sizes = sorted(used)
         self.keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         self.owners = np.concatenate(owners) if owners else np.empty((0, 3), np.int64)
@@ -135,6 +148,36 @@ class Benchmark:
                                 found.add((item, int(tile[i]) - offset))
         return found
 
+    def whole_segments(self, stream: np.ndarray) -> set[tuple[int, int]]:
+        """(item, where it would begin in the stream) of all places that hold a segment of a short item."""
+        found: set[tuple[int, int]] = set()
+        for size, (keys, owners) in self.segments.items():
+            if len(stream) < size:
+                continue
+            rolled = _rolled(stream, size)
+            table = np.zeros(1 << TABLE_BITS, bool)
+            table[(keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
+            hit = np.flatnonzero(table[(rolled >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+            lo, hi = (np.searchsorted(keys, rolled[hit], side) for side in ("left", "right"))
+            for i, a, z in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                found.update((item, i - offset) for item, offset in owners[a:z].tolist())
+        return found
+
+    def begin(self, item: int, words: list[int], end: int, edits: int) -> int:
+        """Where the part of ``words`` that ends at ``end``, so many edits from the item, begins."""
+        n = self.words[item]
+        if not edits:
+            return end - n
+        back = np.array(words[max(0, end - n - edits) : end][::-1], np.uint64)
+        places = np.arange(len(back) + 1)
+        row = places
+        for w in self.own[item][::-1]:
+            new = row + 1
+            new[1:] = np.minimum(new[1:], row[:-1] + (back != w))
+            row = np.minimum.accumulate(new - places) + places
+        nearest = np.flatnonzero(row == row.min())
+        return end - int(nearest[np.argmin(np.abs(nearest - n))])
+
     def distance(self, item: int, words: list[int]) -> tuple[int, int]:
         """Least edits between the item and a part of ``words``, and where that part ends."""
         n, get = self.words[item], self.masks[item].get
@@ -165,7 +208,7 @@ class Benchmark:
         least = SIZES[self.sizes[0]] if self.sizes else 0
         starts = np.concatenate([np.arange(b, b + max(0, len(o) - least + 1), STRIDE) for b, o in zip(begins[:-1].tolist(), own, strict=True)] or [np.empty(0, np.int64)])
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for item, at in sorted(self.candidates(stream, starts.astype(np.int64))):
+        for item, at in sorted(self.candidates(stream, starts.astype(np.int64)) | self.whole_segments(stream)):
             n = self.words[item]
             slack = int(EDITS * n)
             text = self._text_of(begins, at, n)
@@ -179,14 +222,7 @@ class Benchmark:
                 continue
             edits, end = self.distance(item, words)
             if edits <= slack and (got is None or edits < got[0]):
-                best[text, item] = (edits, max(0, lo + end - n - int(begins[text])))
-        for size, table in self.short.items():
-            for text, o in enumerate(own):
-                if len(o) >= size:
-                    rolled = _rolled(o, size)
-                    for where in np.flatnonzero(np.isin(rolled, np.fromiter(table, np.uint64, len(table)))).tolist():
-                        for item in table[int(rolled[where])]:
-                            best.setdefault((text, item), (0, where))
+                best[text, item] = (edits, lo + self.begin(item, words, end, edits) - int(begins[text]))
         for (text, item), (edits, where) in best.items():
             yield text, self.ids[item], where, edits
 
