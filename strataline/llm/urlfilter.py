@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import string
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,7 +60,10 @@ def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _address(url: Column) -> Column:
-    return F.regexp_replace(url, r"#.*$", "")
+    """What two spellings of an address share: no fragment, A-Z lower-cased in scheme and host."""
+    whole = F.regexp_replace(url, r"(?s)#.*$", "")
+    front = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*", 0)
+    return F.concat(F.translate(front, string.ascii_uppercase, string.ascii_lowercase), whole.substr(F.length(front) + 1, F.length(whole)))
 
 
 def declared_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

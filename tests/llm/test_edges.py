@@ -160,4 +160,9 @@ def test_urls(spark):
         1: ("a.example.org", "/x", None, "block"), 2: ("b.test", "/y", None, "block"), 3: ("safe.com", "/x", "com/", "allow"), 4: ("", "", None, "allow"),
         5: ("", "", None, "allow"), 6: ("clean.example.org", "/z", None, "allow"), 7: ("clean.example.org", "/z", None, "allow"), 8: ("x.net", "/fr/", "net/fr/", "block"),
     }
+    rows = [(1, "https://site.org/a", None, "h", "p"), (2, "HTTPS://Site.org/a#x", link.format("https://m.site.net/es/1"), "h", "p"), (3, "https://other.ORG/b/c", link.format("d"), "h", "p")]
+    rows += [(4, "https://Other.org/b/d", link.format("https://m.site.net/es/1"), "h", "p"), (5, "https://site.org/A", None, "h", "p")]
+    pages = spark.createDataFrame(rows, pages.schema)
+    got = {r.page_id: r.verdict for r in filter_urls(pages, rules, declared_links(pages)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
     assert filter_urls(pages.limit(0), rules, declared_links(pages.limit(0))).collect() == []
