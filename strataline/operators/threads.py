@@ -20,11 +20,11 @@ def promoted(comments: DataFrame) -> DataFrame:
     return spark.sql(
         f"""
         WITH RECURSIVE tree(thread_id, id, deleted, depth, root_id, path) MAX RECURSION LEVEL {LEVELS} AS (
-            SELECT thread_id, id, deleted, if(deleted, 0, 1), if(deleted, CAST(NULL AS BIGINT), id), lpad(CAST(ord AS STRING), 8, '0')
+            SELECT thread_id, id, deleted, if(deleted, 0, 1), if(deleted, CAST(NULL AS BIGINT), id), lpad(CAST(ord AS STRING), 19, '0')
             FROM {{comments}} WHERE parent_id IS NULL
             UNION ALL
             SELECT c.thread_id, c.id, c.deleted, t.depth + if(c.deleted, 0, 1),
-                   coalesce(t.root_id, if(c.deleted, CAST(NULL AS BIGINT), c.id)), concat(t.path, '/', lpad(CAST(c.ord AS STRING), 8, '0'))
+                   coalesce(t.root_id, if(c.deleted, CAST(NULL AS BIGINT), c.id)), concat(t.path, '/', lpad(CAST(c.ord AS STRING), 19, '0'))
             FROM tree t JOIN {{comments}} c ON c.thread_id = t.thread_id AND c.parent_id = t.id)
         SELECT thread_id, id, depth - 1 AS depth, root_id, path FROM tree WHERE NOT deleted""",
         comments=comments,
