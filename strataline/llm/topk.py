@@ -30,6 +30,9 @@ CANDIDATES, QUERIES = 2048, 512
 #: Bins a query's score interval is divided into in each pass.
 BINS = 256
 
+#: Scores beyond it (either way) count as it, so that intervals of scores stay in 64 bits.
+LIMIT = 1 << 61
+
 _BLOCK = "dim int, n int, ids binary, mat binary, top double"
 
 
@@ -54,7 +57,7 @@ def _pack(size: int, scale: float):
                 if not np.isfinite(x).all():
                     continue
                 own = held.setdefault(len(x), [])
-                own.append((i, np.floor(x * scale).astype(np.int64)))
+                own.append((i, np.clip(np.floor(x * scale), -(2.0**62), 2.0**62).astype(np.int64)))
                 if len(own) >= size:
                     yield block(len(x))
         for dim in list(held):
@@ -70,7 +73,10 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if row["q_top"] * row["top"] < 2**52:
         s = np.rint(q.astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
     else:
-        s = q @ c.T
+        s = q @ c.T  # exact modulo 2^64
+        if row["q_top"] * row["top"] >= LIMIT:
+            near = q.astype(np.float64) @ c.T.astype(np.float64)
+            s = np.where(np.abs(near) >= LIMIT, np.where(near > 0, LIMIT, -LIMIT), s)
     return np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8"), s
 
 
@@ -134,14 +140,15 @@ def _keep(batches):
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each row of ``queries`` its k highest inner products with the other rows of ``vectors``.
 
-    Returns query_id, rank (from 1), vec_id, score; equal scores go by the smaller id.
+    Returns query_id, rank (from 1), vec_id, score; equal scores go by the smaller id.  Scaled
+    components and scores have 64 bits: scores of 2^61 or more, either way, count as that.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
     cands = durable(pick(vectors).mapInArrow(_pack(CANDIDATES, scale), _BLOCK), "topk-cand")
     asked = pick(queries).mapInArrow(_pack(QUERIES, scale), _BLOCK).withColumn("qb", F.monotonically_increasing_id())
     asked = durable(asked.withColumnsRenamed({"n": "q_n", "ids": "q_ids", "mat": "q_mat", "top": "q_top"}), "topk-query")
-    bound = asked.join(cands.groupBy("dim").agg(F.max("top").alias("c_top")), "dim").select("qb", "q_n", F.ceil(F.col("q_top") * F.col("c_top") + 1).cast("long").alias("bound"))
+    bound = asked.join(cands.groupBy("dim").agg(F.max("top").alias("c_top")), "dim").select("qb", "q_n", F.ceil(F.least(F.col("q_top") * F.col("c_top") + 1, F.lit(float(LIMIT)))).cast("long").alias("bound"))
     whole = bound.agg(F.max("bound")).first()[0] or 0
     # every query block goes to every slot of candidate blocks of its dimension
     slots = max(partitions_of(cands), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -144,6 +144,9 @@ def test_topk(spark):
             want = sorted((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x))[:20]
             assert sorted(got.get(q, [])) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
     assert exact_topk(frame.limit(0), frame.limit(0)).collect() == []
+    large = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1e16]), (2, [2.0, 1e300]), (3, [1e300, 1.0]), (4, [-1e300, 1.0]), (5, [-1.0, 1e16])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in exact_topk(large, large.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(3, 2**61), (2, 64 * 128), (1, 0), (5, -64 * 64), (4, -(2**61))]
 
 
 def test_urls(spark):
