@@ -45,14 +45,18 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def remove_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold an item of ``benchmark`` go, each by its own text; null and empty texts stay, whatever their doc_id."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows repeated (at most 3 times) or left out, so that sources come near their targets; a null source is one of
+    them, rows with a null doc_id are mixed like others, and texts without words weigh nothing."""
     return mix_documents(docs, weights=(1, 2, 3), most=3)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A digest per row, read back from the files; null texts have the end id only, null doc_ids come first."""
     stored, _ = tokenise(docs, byte_bpe(), end=0, label="pipeline-tokens")
     return read_digests(stored)
 
