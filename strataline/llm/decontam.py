@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.runtime import text_blocks
+from strataline.llm.runtime import text_blocks, tidy
+from strataline.llm.shingles import arrow_blocks
 from strataline.llm.substring import Hashes, _rolled
 
 #: Window sizes in words, steps of the walk per word of a window, and every how many words a document has a window.
@@ -260,7 +261,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     cols = list(zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "item_id", "start", "edits"])
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), schema))
     return out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start")).alias("m")).select("doc_id", "item_id", F.col("m.start").alias("start"), F.col("m.edits").alias("edits"))
 
 
@@ -272,11 +273,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, handle=handle):
             own, hashes = handle.value, Hashes()
-            for b in batches:
-                for k in range(0, b.num_rows, 1024):
-                    part = b.slice(k, 1024)
-                    bad = {t for t, *_ in own.search(part.column(at).to_pylist(), hashes)}
-                    yield part.filter(pa.array([t not in bad for t in range(part.num_rows)], pa.bool_()))
+            for part in arrow_blocks(batches, at, 4 << 20):
+                bad = {t for t, *_ in own.search(part.column(at).to_pylist(), hashes)}
+                yield part.filter(pa.array([t not in bad for t in range(part.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

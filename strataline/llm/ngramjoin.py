@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.llm.components import connected_components
-from strataline.llm.runtime import durable
+from strataline.llm.runtime import durable, tidy, tidy_group
 from strataline.llm.shingles import arrow_blocks, ranges, shingle_sets
 
 #: Longest list that gives its pairs at once; least block of a longer list.
@@ -437,7 +437,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     firsts = bodies.join(_checked(durable(pairs.select(F.col("a").alias("cls")).distinct(), "ngram-firsts")), "cls")
     firsts = firsts.select(F.col("cls").alias("a"), nothing.cast("long").alias("b"), nothing.cast("int").alias("na"), nothing.cast("int").alias("nb"), "body")
     met = firsts.unionByName(partners).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b"))
-    return durable(met.mapInArrow(_compared, "a long, b long, na int, nb int, over int").filter("b is not null"), "ngram-overlap")
+    return durable(met.mapInArrow(tidy(_compared), "a long, b long, na int, nb int, over int").filter("b is not null"), "ngram-overlap")
 
 
 #: The condition of a link on a row of ``overlaps``.
@@ -448,7 +448,7 @@ def _met(entries: DataFrame, sets: DataFrame, keys: list[str]) -> DataFrame:
     """Links inside groups of entries (b, comp, part and the group's keys)."""
     entries = durable(entries, "ngram-entries")
     bodies = _bodies(sets, entries.select(F.col("b").alias("cls")).distinct()).withColumnRenamed("cls", "b")
-    return durable(bodies.join(_checked(entries), "b").groupBy(*keys).applyInArrow(_grouped, _EDGES), "ngram-links")
+    return durable(bodies.join(_checked(entries), "b").groupBy(*keys).applyInArrow(tidy_group(_grouped), _EDGES), "ngram-links")
 
 
 def _parts(entries: DataFrame, split: int, *order: str) -> DataFrame:
@@ -500,21 +500,21 @@ def ngram_components(docs: DataFrame, small: int = SMALL, split: int = SPLIT) ->
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    known = durable(rows.mapInArrow(_features, _FEATURES), "ngram-sets", compression="uncompressed")
+    known = durable(rows.mapInArrow(tidy(_features), _FEATURES), "ngram-sets", compression="uncompressed")
     members = known.select("doc_id", "n", "cls")
     sets = known.filter("at is not null").select("at", "cls", "n", "body")
     size = sets.agg(F.sum("n")).first()[0] or 0
     buckets = 1 + size // BUCKET_ENTRIES
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS)
 
-    told = sets.select("body").mapInArrow(_tallies(buckets), _SENT).repartition(spread, "bucket")
-    often = durable(told.groupBy("bucket").applyInArrow(_frequent(OFTEN), "h long, n long"), "ngram-frequent")
+    told = sets.select("body").mapInArrow(tidy(_tallies(buckets)), _SENT).repartition(spread, "bucket")
+    often = durable(told.groupBy("bucket").applyInArrow(tidy_group(_frequent(OFTEN)), "h long, n long"), "ngram-frequent")
     last = often.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
     hashes, rank = last["h"].to_numpy(np.int64).view(np.uint64), np.argsort(np.lexsort((last["h"], last["n"])))
     order = np.argsort(hashes)
     handle = spark.sparkContext.broadcast((hashes[order], rank[order]))
-    sent = sets.select("cls", "body").mapInArrow(_prefixes(handle, buckets), _SENT).repartition(spread, "bucket")
-    listed = durable(sent.groupBy("bucket").applyInArrow(_lists(small), _LISTED), "ngram-lists")
+    sent = sets.select("cls", "body").mapInArrow(tidy(_prefixes(handle, buckets)), _SENT).repartition(spread, "bucket")
+    listed = durable(sent.groupBy("bucket").applyInArrow(tidy_group(_lists(small)), _LISTED), "ngram-lists")
 
     # with no short list in common, sets that link share enough long ones; a partner has three quarters of the size at least
     met = listed.filter("head is not null")

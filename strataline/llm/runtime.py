@@ -7,11 +7,14 @@ executor costs a task retry and never the data.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,43 @@ def text_blocks(batches: Iterable, column: int = 1, limit: int = BLOCK_BYTES) ->
         yield rows
 
 
+def release() -> None:
+    """Hand memory that is free, but held by the allocators, back to the system.
+
+    Workers are kept for later tasks; what one stage held would else stay beside the next one's.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that releases memory when its task ends."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of one group that releases memory after each group of over 4 MB."""
+
+    def tidied(rows):
+        found = run(rows)
+        if rows.nbytes > 4 << 20:
+            release()
+        return found
+
+    return tidied
+
+
 def words_column(text: str):
     """Number of words of a text column; null and empty texts have none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.runtime import durable, scratch_path, slices
+from strataline.llm.runtime import durable, scratch_path, slices, tidy
 from strataline.llm.shingles import arrow_blocks, hashed_places, ranges, same_places, text_bytes, word_places
 
 #: Bytes of pieces that the table holds before it starts anew (some 40 more for each piece).
@@ -218,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 0) -> No
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("turn"))
     # the hash parts rows of one doc_id, if they are many; the range bounds then hold numbers only
     ranged = rows.repartitionByRange(slices(docs), F.col("doc_id").asc(), F.col("turn").asc()).sortWithinPartitions("doc_id", "turn", "text")
-    coded = ranged.select("doc_id", "text").mapInArrow(_encode(tokenizer, end), "doc_id long, ids array<int>")
+    coded = ranged.select("doc_id", "text").mapInArrow(tidy(_encode(tokenizer, end)), "doc_id long, ids array<int>")
     numbered = coded.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq"), "doc_id", "ids")
     options = {
         "compression": "zstd",
@@ -241,7 +241,7 @@ def _digest(batches):
 
 def read_digests(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files; start is a prefix sum over parts, then inside each."""
-    own = durable(stored.select("part", "seq", "ids", "doc_id").mapInArrow(_digest, "part int, seq long, doc_id long, n_tokens long, ids_crc32 long"), "token-digests")
+    own = durable(stored.select("part", "seq", "ids", "doc_id").mapInArrow(tidy(_digest), "part int, seq long, doc_id long, n_tokens long, ids_crc32 long"), "token-digests")
     whole = own.groupBy("part").agg(F.sum("n_tokens").alias("held"))
     ahead = F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.runtime import text_blocks
+from strataline.llm.runtime import text_blocks, tidy
 
 #: Labelled documents of either label that a model learns from, and a 20th of the characters that they stay below.
 SAMPLE_DOCS, SAMPLE_WORDS = 4000, 4000
@@ -185,7 +185,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score and the offending sentences (start, end, p; in characters) of every row."""
     handle = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_score(handle), "doc_id long, score double, offending array<struct<start:int,end:int,p:double>>")
+    return rows.mapInArrow(tidy(_score(handle)), "doc_id long, score double, offending array<struct<start:int,end:int,p:double>>")
 
 
 def reject_toxic(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
@@ -199,4 +199,4 @@ def reject_toxic(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
             clean = [noisy_or(sentence_logits(sentences(x.as_py() or ""), scores)) < least for x in b.column(at)]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
