@@ -130,4 +130,5 @@ def hint(error: Column) -> Column:
 
 
 def home_redacted(path: Column, home: str) -> Column:
-    return F.when(F.startswith(path, F.lit(home + "/")), F.concat(F.lit("~"), F.substring(path, F.lit(len(home) + 1), F.length(path)))).otherwise(path)
+    """The path with the home folder, itself included, as ``~``."""
+    return F.when(path == home, F.lit("~")).when(F.startswith(path, F.lit(home + "/")), F.concat(F.lit("~"), F.substring(path, F.lit(len(home) + 1), F.length(path)))).otherwise(path)

@@ -511,3 +511,94 @@ def q55_year_and_doi(spark, sf_dir):
     ident = F.format_string("%02d%02d.%05d", d % 25, d % 12 + 1, d % 99999)
     made = F.concat(F.lit("D:"), (1990 + d % 40).cast("string"), F.lit("0102"))
     return _table(spark, sf_dir, "documents").select("doc_id", doi(text).alias("doi"), arxiv_year(ident).alias("arxiv_year"), creation_year(made).alias("creation_year"))
+
+
+@query
+def q56_listing_entries(spark, sf_dir):
+    from strataline.operators.listings import numbered_entries
+
+    n = F.col("page_id")
+    video = F.when(n % 7 != 0, F.concat(F.lit("v"), n.cast("string")))
+    own = _table(spark, sf_dir, "pages").select((n % 40).alias("listing"), "page_id", video.alias("id"), F.when(n % 3 == 0, F.col("url")).alias("url"), F.when(n % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("T "), n.cast("string"))).alias("title"), F.lit(20).alias("most"))
+    return numbered_entries(own, "listing", "page_id", "most").select("listing", "page_id", F.col("number").cast("long").alias("number"), "title", "url", "reason")
+
+
+@query
+def q57_transcript_choice(spark, sf_dir):
+    from strataline.operators.listings import chosen_transcript
+
+    d = F.col("doc_id")
+    docs = _table(spark, sf_dir, "documents")
+    captions = docs.filter(d % 3 != 0).select(d.alias("video_id"), F.when(d % 2 == 0, F.lit("manual")).otherwise(F.lit("auto")).alias("kind"), F.when(d % 5 == 0, F.lit("  ")).otherwise(F.col("source")).alias("text"))
+    speech = docs.filter(d % 4 != 1).select(d.alias("video_id"), F.col("lang").alias("text"))
+    return chosen_transcript(docs.select(d.alias("video_id"), (d % 8 == 2).alias("forced")), captions, speech)
+
+
+@query
+def q58_source_captures(spark, sf_dir):
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    number = F.concat((1000 + d % 9000).cast("string"), F.lit("."), (10000 + d % 90000).cast("string"), F.lit("v2"))
+    kinds = F.array(
+        F.concat(F.lit("https://arxiv.org/abs/"), number), F.concat(F.lit("https://github.com/owner"), n, F.lit("/repo-"), n, F.lit(".git")), F.concat(F.lit("https://www.youtube.com/@name"), n, F.lit("/about")),
+        F.concat(F.lit("https://news.ycombinator.com/item?id="), n), F.concat(F.lit("https://old.reddit.com/r/x/comments/a"), n, F.lit("/title")), F.concat(F.lit("https://feeds.example.org/show"), n),
+    )
+    own = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(kinds, (d % 6 + 1).cast("int")).alias("s"))
+    repo, thread = detect.repository(F.col("s")), detect.thread_id(F.col("s"))
+    limit = detect.default_limit(F.col("s"), F.lit(None).cast("int")).cast("long")
+    return own.select("doc_id", detect.arxiv_id(F.col("s")).alias("arxiv_id"), repo["owner"].alias("owner"), repo["repo"].alias("repo"), detect.channel_videos_url(F.col("s")).alias("videos_url"), thread["platform"].alias("platform"), thread["id"].alias("thread_id"), limit.alias("default_limit"))
+
+
+@query
+def q59_skill_file_problems(spark, sf_dir):
+    from strataline.operators.validate import broken_links, empty_files
+
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    text = F.concat(F.lit("See [x](f"), (d + 30).cast("string"), F.lit(".md#part), [y](f"), n, F.lit(".md) and [z](https://x.org/z.md)"))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), (d % 30).cast("string")).alias("skill"), F.concat(F.lit("a/f"), n, F.lit(".md")).alias("path"), F.when(d % 9 == 0, F.lit(" \n")).otherwise(text).alias("content"))
+    lost = broken_links(files).select("skill", "path", F.concat(F.lit("no file "), "target").alias("problem"))
+    return lost.unionByName(empty_files(files).withColumn("problem", F.lit("empty")))
+
+
+@query
+def q60_evaluation_files(spark, sf_dir):
+    from strataline.operators.validate import eval_errors
+
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    item = F.struct(d.alias("id"), F.when(d % 6 == 1, F.lit("")).otherwise(F.lit("p")).alias("prompt"), F.when(d % 6 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("e"))).alias("expectations"))
+    items = F.when(d % 6 == 3, F.slice(F.array(item), 1, 0)).otherwise(F.array(item))
+    name = F.when(d % 4 == 0, F.lit("other")).otherwise(F.concat(F.lit("s"), n))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), n).alias("skill"), F.to_json(F.struct(name.alias("skill_name"), items.alias("evals"))).alias("content"))
+    return eval_errors(files)
+
+
+@query
+def q61_listing_outcome(spark, sf_dir):
+    from strataline.operators.listings import outcome
+
+    n, k = F.col("page_id"), F.floor(F.col("page_id") / 40)
+    kind = (k * 7 + n % 40) % 5
+    reason = F.when(kind < 2, F.lit("HTTP Error 429")).when((kind == 2) | (n % 40 > 35), F.lit("Too Many Requests")).when(kind == 3, F.lit("private"))
+    tries = _table(spark, sf_dir, "pages").select((n % 40).alias("listing"), n.alias("number"), F.when(n % 6 != 0, F.lit("u")).alias("url"), reason.alias("reason"))
+    return outcome(tries, "listing")
+
+
+@query
+def q62_citation_strings(spark, sf_dir):
+    from strataline.functions.citation import authors, in_text_year, stamped_id, venue_year
+
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    venue = F.when(d % 2 == 0, F.concat(F.lit("at NeurIPS "), (2000 + d % 24).cast("string"), F.lit(", in May"))).otherwise(F.concat(F.lit("ICML '"), F.lpad((d % 24).cast("string"), 2, "0"), F.lit(" and 1850")))
+    stamp = F.concat(F.lit("x\narXiv:1706."), F.lpad((d % 99999).cast("string"), 5, "0"), F.lit("v3  [cs.CL]  2 Aug 2023"))
+    names = F.element_at(F.array(F.concat(F.lit("Ann A"), n, F.lit("; Bo B and Cy C")), F.concat(F.lit("Ada L"), n, F.lit(", Alan T")), F.concat(F.lit("L"), n, F.lit(", Ada"))), (d % 3 + 1).cast("int"))
+    told = F.concat(F.lit("trained on WMT 2014 with 2100 steps"), F.when(d % 4 != 0, F.concat(F.lit(", in "), (1990 + d % 30).cast("string"))).otherwise(F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", venue_year(venue).alias("venue_year"), stamped_id(stamp).alias("stamped_id"), F.array_join(authors(names), "|").alias("authors"), in_text_year(told).alias("text_year"))
+
+
+@query
+def q63_options_hints_paths(spark, sf_dir):
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (d % len(x) + 1).cast("int"))
+    wrong = detect.option_error(pick("playlist", "youtube", "book"), F.when(d % 5 == 0, F.lit(3)), d % 2 == 0)
+    advice = detect.hint(pick("HTTP Error 429", "Too Many Requests", "Sign in to confirm you're not a bot", "HTTP 404"))
+    path = F.when(d % 7 == 0, F.lit("/home/u")).otherwise(F.concat(pick("/home/u/", "/home/u2/", "/srv/home/u/"), n))
+    return _table(spark, sf_dir, "documents").select("doc_id", wrong.alias("option_error"), advice.alias("hint"), detect.home_redacted(path, "/home/u").alias("path"))

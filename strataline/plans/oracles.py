@@ -245,4 +245,39 @@ ORACLES: dict[str, str] = {
     "q55_year_and_doi": """
         SELECT doc_id, '10.' || 1000 + doc_id % 9000 || '/abc.' || doc_id AS doi, CAST(2000 + doc_id % 25 AS INTEGER) AS arxiv_year,
                CAST(CASE WHEN 1990 + doc_id % 40 <= year(current_date) + 1 THEN 1990 + doc_id % 40 END AS INTEGER) AS creation_year FROM documents""",
+    "q56_listing_entries": """
+        WITH p AS (SELECT page_id % 40 AS listing, page_id, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS number, CASE WHEN page_id % 5 <> 0 THEN 'T ' || page_id END AS t,
+                          CASE WHEN page_id % 3 = 0 THEN nullif(url, '') END AS own, CASE WHEN page_id % 7 <> 0 THEN 'https://www.youtube.com/watch?v=v' || page_id END AS video FROM pages)
+        SELECT listing, page_id, number, coalesce(t, 'Video ' || number) AS title, coalesce(own, video) AS url,
+               CASE WHEN own IS NULL AND video IS NULL THEN 'playlist entry has no url or id' END AS reason FROM p WHERE number <= 20""",
+    "q57_transcript_choice": """
+        WITH v AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 8 <> 2 THEN source END AS told, CASE WHEN doc_id % 4 <> 1 THEN lang END AS said FROM documents)
+        SELECT doc_id AS video_id, CASE WHEN told IS NOT NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'auto' END WHEN said IS NOT NULL THEN 'whisper' END AS label,
+               coalesce(told, said) AS text, CASE WHEN told IS NULL AND said IS NULL THEN 'no captions and no transcription' END AS reason FROM v""",
+    "q58_source_captures": """
+        SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN (1000 + doc_id % 9000) || '.' || (10000 + doc_id % 90000) || 'v2' END AS arxiv_id,
+               CASE WHEN doc_id % 6 = 1 THEN 'owner' || doc_id END AS owner, CASE WHEN doc_id % 6 = 1 THEN 'repo-' || doc_id END AS repo,
+               CASE WHEN doc_id % 6 = 2 THEN 'https://www.youtube.com/@name' || doc_id || '/videos' END AS videos_url,
+               CASE doc_id % 6 WHEN 3 THEN 'hackernews' WHEN 4 THEN 'reddit' END AS platform, CASE doc_id % 6 WHEN 3 THEN '' || doc_id WHEN 4 THEN 'a' || doc_id END AS thread_id,
+               CAST(CASE doc_id % 6 WHEN 2 THEN 20 WHEN 5 THEN 5 END AS BIGINT) AS default_limit FROM documents""",
+    "q59_skill_file_problems": """
+        SELECT 's' || doc_id % 30 AS skill, 'a/f' || doc_id || '.md' AS path, 'empty' AS problem FROM documents WHERE doc_id % 9 = 0
+        UNION ALL SELECT 's' || doc_id % 30, 'a/f' || doc_id || '.md', 'no file f' || (doc_id + 30) || '.md' FROM documents WHERE doc_id % 9 <> 0 AND doc_id + 30 NOT IN (SELECT doc_id FROM documents)""",
+    "q60_evaluation_files": """
+        SELECT 's' || doc_id AS skill, 'skill_name differs from folder' AS error FROM documents WHERE doc_id % 4 = 0
+        UNION ALL SELECT 's' || doc_id, CASE doc_id % 6 WHEN 1 THEN 'no prompt in item 1' WHEN 2 THEN 'no expectations in item 1' ELSE 'no evals' END FROM documents WHERE doc_id % 6 IN (1, 2, 3)""",
+    "q61_listing_outcome": """
+        WITH k AS (SELECT page_id % 40 AS listing, page_id, (page_id // 40 * 7 + page_id % 40) % 5 AS kind FROM pages WHERE page_id % 6 <> 0),
+        b AS (SELECT *, kind <= 2 OR listing > 35 AS limited, kind <= 3 OR listing > 35 AS failed FROM k),
+        r AS (SELECT *, sum(CAST(limited AS INTEGER)) OVER (PARTITION BY listing ORDER BY page_id ROWS 2 PRECEDING) = 3 AS run FROM b)
+        SELECT listing, bool_or(run) AS aborted, bool_and(failed) AS all_failed FROM r GROUP BY listing""",
+    "q62_citation_strings": """
+        SELECT doc_id, CAST(2000 + doc_id % 24 AS INTEGER) AS venue_year, '1706.' || lpad('' || doc_id % 99999, 5, '0') AS stamped_id,
+               CASE doc_id % 3 WHEN 0 THEN 'Ann A' || doc_id || '|Bo B|Cy C' WHEN 1 THEN 'Ada L' || doc_id || '|Alan T' ELSE 'L' || doc_id || ', Ada' END AS authors,
+               CAST(CASE WHEN doc_id % 4 <> 0 THEN 1990 + doc_id % 30 ELSE 2014 END AS INTEGER) AS text_year FROM documents""",
+    "q63_options_hints_paths": """
+        SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN 'limit applies to playlists only'
+                            WHEN doc_id % 2 = 0 AND doc_id % 3 = 2 THEN 'transcribe applies to videos and playlists only' END AS option_error,
+               CASE doc_id % 4 WHEN 2 THEN 'bot check: retry later or from another network' WHEN 3 THEN 'check the source and retry' ELSE 'rate limited: wait and retry' END AS hint,
+               CASE WHEN doc_id % 7 = 0 THEN '~' WHEN doc_id % 3 = 0 THEN '~/' || doc_id WHEN doc_id % 3 = 1 THEN '/home/u2/' || doc_id ELSE '/srv/home/u/' || doc_id END AS path FROM documents""",
 }
