@@ -56,3 +56,17 @@ def test_papers_and_repositories(spark):
     assert [(r.source_id, r.reason) for r in rejects.collect()] == [(2, "no text layer")]
     segs, _ = extract.repositories(spark.createDataFrame([(1, "README.md", "# R\nx"), (1, "docs/a.md", "# R\ny")], "source_id int, path string, content string"))
     assert [(s.key, s.path) for s in segs.orderBy("seg_ord").collect()] == [("R", "README.md"), ("R (2)", "docs/a.md")]
+
+
+def test_tables_and_figures_of_pages():
+    """A rule stands only below a head row, a caption is a line, and a figure's caption is marked."""
+    from strataline.operators.html import read_page
+
+    body = lambda inner: read_page(f"<article>lead{inner}</article>").sections()[0][1].split("\n")
+    rows = "<tr><td>a<td>b</tr><tr><td>1<td>2</tr>"
+    assert body(f"<table>{rows}</table>") == ["lead", "| a | b |", "| 1 | 2 |"]
+    assert body("<table><caption> The  caption</caption><thead><tr><td>a<td>b</tr></thead><tbody><tr><td>1<td>2</tr></table>") == ["lead", "The caption", "| a | b |", "| --- | --- |", "| 1 | 2 |"]
+    assert body("<table><tr><th>a<td>b</tr><tr><th>1<th>2</tr></table>") == ["lead", "| a | b |", "| 1 | 2 |"]
+    assert body("<table><tr><td>x<table><tr><th>in<th>ner</table></td><td>y</table>")[1].split() == ["|", "x", "in", "ner", "|", "y", "|"]
+    assert "[figure] A plot" in body("<figure><img src=x><figcaption> <b>A plot</b></figcaption></figure><figure><figcaption></figcaption></figure><p>after")
+    assert "[figure]" not in " ".join(body("<figure><figcaption> </figcaption></figure><p>after"))
