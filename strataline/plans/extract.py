@@ -127,12 +127,15 @@ def sites(indexes: DataFrame, responses: DataFrame, required: int = 150, text_ca
     return located(kept.withColumn("key", F.col("url")), ["ord"]).drop("ord"), refused(done.filter("outcome <> 'kept'"), "pages", F.col("url"), why)
 
 
-def one_file_sites(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sites that publish all text in one file (source_id, url, text); a file over the cap is cut there, and says so."""
-    cut = F.octet_length("text") > TEXT_BYTES
+def one_file_sites(files: DataFrame, text_cap: int = TEXT_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Sites that publish all text in one file (source_id, url, text); of a file over the cap one byte more than the cap is read, and the cut is logged."""
+    cut = F.octet_length("text") > text_cap
+    head = F.make_valid_utf8(F.substring(F.col("text").cast("binary"), 1, text_cap + 1).cast("string"))
+    refusals = refused(files.filter(cut), "cap", F.col("url"), F.lit("over text cap"))
+    files = files.withColumn("text", F.when(cut, head).otherwise(F.col("text")))
     segs = docs.split_full(files, "source_id", "text")
     keyed = contract.unique_keys(segs, ["source_id"], "title", ["ord"]).withColumn("key", F.coalesce("url", "key"))
-    return located(keyed, ["ord"]).drop("ord"), refused(files.filter(cut), "cap", F.col("url"), F.lit("over text cap"))
+    return located(keyed, ["ord"]).drop("ord"), refusals
 
 
 def recordings(cues: DataFrame, chapters: DataFrame | None = None, durations: DataFrame | None = None) -> DataFrame:

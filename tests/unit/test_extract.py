@@ -70,3 +70,10 @@ def test_tables_and_figures_of_pages():
     assert body("<table><tr><td>x<table><tr><th>in<th>ner</table></td><td>y</table>")[1].split() == ["|", "x", "in", "ner", "|", "y", "|"]
     assert "[figure] A plot" in body("<figure><img src=x><figcaption> <b>A plot</b></figcaption></figure><figure><figcaption></figcaption></figure><p>after")
     assert "[figure]" not in " ".join(body("<figure><figcaption> </figcaption></figure><p>after"))
+
+
+def test_one_file_over_the_cap_is_cut(spark):
+    files = spark.createDataFrame([(1, "u", "# A\nab\n# B\nééé\n"), (2, "v", "# A\nx\n# B\ny")], "source_id int, url string, text string")
+    segs, rejects = extract.one_file_sites(files, 13)
+    assert [(r.source_id, r.title, r.body) for r in segs.orderBy("source_id", "seg_ord").collect()] == [(1, "A", "ab"), (1, "B", "é�"), (2, "A", "x"), (2, "B", "y")]
+    assert [(r.source_id, r.reason) for r in rejects.collect()] == [(1, "over text cap")]
