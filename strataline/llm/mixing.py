@@ -39,11 +39,15 @@ BASE = 8
 PART_ROWS = 500
 
 
-def measured(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """Adds __key (the source, null included), __size (words) and __hash (of the whole row)."""
+def _measures(docs: DataFrame, text: str, source: str) -> dict[str, Column]:
     key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source)))
     hashed = [f.name for f in docs.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
-    return docs.withColumns({"__key": key, "__size": words_column(text), "__hash": F.xxhash64(*[F.col(f"`{c}`") for c in hashed])})
+    return {"__key": key, "__size": words_column(text), "__hash": F.xxhash64(*[F.col(f"`{c}`") for c in hashed])}
+
+
+def measured(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """Adds __key (the source, null included), __size (words) and __hash (of the whole row)."""
+    return docs.withColumns(_measures(docs, text, source))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -141,7 +145,8 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) ->
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, same columns."""
-    rows = measured(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "__key", "__size", "__hash")
+    """The mix itself: each row of ``docs`` as often as it is taken, same columns, whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select(whole, *[c.alias(name) for name, c in _measures(docs, "text", "source").items()])
     taken = mix(rows, weights, most).filter("copies > 0")
     return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")

@@ -27,3 +27,14 @@ def test_null_doc_ids(spark):
 def test_repeated_doc_ids(spark):
     rows = [(1, BASE), (2, BASE + " tail"), (2, OTHER), (3, THIRD), (3, THIRD)]
     assert kept(spark, [(*r, "s") for r in rows]) == [(1, BASE), (2, OTHER), (3, THIRD)]
+
+
+def test_mixing_keeps_columns_named_like_its_own(spark):
+    from strataline.llm.mixing import mix_documents
+
+    rows = [(i, "w " * (i + 1), "ab"[i % 2], f"k{i}", i, -i, f"r{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __key string, __size int, __hash long, __row string")
+    got = mix_documents(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    taken = {tuple(r) for r in got.collect()}
+    assert taken and taken <= set(rows)
