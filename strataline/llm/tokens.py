@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from strataline.llm.runtime import durable, scratch_path, slices, tidy
 from strataline.llm.shingles import arrow_blocks, hashed_places, ranges, same_places, text_bytes, word_places
 
-#: Bytes of pieces that the table holds before it starts anew (some 40 more for each piece).
-TABLE_BYTES = 20 << 20
-#: Bytes of text that are encoded at a time.
-TEXT_BYTES = 4 << 20
+#: Bytes of pieces that the table holds before it starts anew (some 50 more for each piece).
+TABLE_BYTES = 12 << 20
+#: Bytes of text that are encoded at a time; a block's own arrays take some 70 times as much.
+TEXT_BYTES = 1 << 20
 #: Bytes of an ORC stripe and rows of an index entry: the units of parallel reads and of skipping.
 STRIPE_BYTES, INDEX_ROWS = 16 << 20, 1000
 #: Fixed value: the pre-tokenizer for which ASCII white space bounds pieces as below.
@@ -99,16 +99,16 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted; the piece of each
-        self.text, self.at, self.size = np.zeros(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.hashes, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)  # sorted; the piece of each
+        self.text, self.at, self.size = np.zeros(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, keys: list[bytes], hashes: np.ndarray) -> None:
         """Ids of pieces not met before; length -1 for those that do not stand for themselves."""
-        lens, starts = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        lens, starts = np.full(len(keys), -1, np.int32), np.zeros(len(keys), np.int64)
         plain, parts, size = [], [], len(self.ids)
         merges, flat = self.tok.model.tokenize, []
         for i, key in enumerate(keys):
@@ -142,11 +142,11 @@ class Encoder:
                 starts[plain], lens[plain] = size + cuts[:-1] + 1, np.diff(cuts) - 1
         self.starts, self.lens = np.concatenate([self.starts, starts]), np.concatenate([self.lens, lens])
         self.ids = np.concatenate([self.ids, *parts])
-        sizes = np.fromiter(map(len, keys), np.int64, len(keys))
-        self.at = np.concatenate([self.at, len(self.text) + np.cumsum(sizes) - sizes])
+        sizes = np.fromiter(map(len, keys), np.int32, len(keys))
+        self.at = np.concatenate([self.at, len(self.text) + np.cumsum(sizes, dtype=np.int64) - sizes])
         self.size = np.concatenate([self.size, sizes])
         self.text = np.concatenate([self.text, np.frombuffer(b"".join(keys), np.uint8)])
-        number = np.concatenate([self.number, np.arange(len(self.size) - len(keys), len(self.size))])
+        number = np.concatenate([self.number, np.arange(len(self.size) - len(keys), len(self.size), dtype=np.int32)])
         hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.number = hashes[order], number[order]
