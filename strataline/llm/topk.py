@@ -10,6 +10,9 @@ divides that bin, until it is one integer wide.  A last pass keeps the scores
 above that value and, of the scores equal to it, each block's smallest ids, as
 many as are still needed; ranks are then given out among these few rows.
 
+What has a row per query or block is joined by sorting, never broadcast: the
+driver builds broadcasts, small as the files may look, and these grow with the queries.
+
 Defined results: vectors that are null, empty or hold a null, NaN or infinite
 component take no part; rows with a null id take no part; a query meets only
 candidates of its own dimension; rows that repeat an id are candidates each;
@@ -157,8 +160,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
     def pairs(state: DataFrame, span: int, width: int) -> DataFrame:
         packed = state.groupBy("qb").agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "need"))).alias("s"))
         packed = packed.select("qb", F.col("s.pos").alias("pos"), F.col("s.lo").alias("lo"), F.col("s.need").alias("need"), F.lit(span).alias("span"), F.lit(width).alias("width"))
-        spread = asked.join(packed, "qb").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-        return cands.join(spread, ["dim", "slot"])
+        spread = asked.join(packed.hint("merge"), "qb").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        return cands.hint("merge").join(spread, ["dim", "slot"])
 
     # state of a query: its k-th score lies in [lo, lo + span), and so many of that interval belong to the answer
     state = bound.select(
@@ -169,12 +172,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float
         width = -(-span // BINS)
         counts = pairs(state, span, width).mapInArrow(_count, "qb long, pos int, bin long, n long").groupBy("qb", "pos", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("qb", "pos").orderBy(F.desc("bin"))
-        cum = counts.withColumn("cum", F.sum("n").over(down)).join(state.select("qb", "pos", "need"), ["qb", "pos"])
+        cum = counts.withColumn("cum", F.sum("n").over(down)).join(state.select("qb", "pos", "need").hint("merge"), ["qb", "pos"])
         reached = F.col("cum") >= F.col("need")
         found = cum.groupBy("qb", "pos").agg(F.max(F.when(reached, F.col("bin"))).alias("hit"), F.max_by(F.col("need") - F.col("cum") + F.col("n"), F.when(reached, F.col("bin"))).alias("left"))
         # too few scores for k: the lowest bin, so that every score is kept
         state = durable(
-            state.join(found, ["qb", "pos"], "left").select("qb", "pos", (F.col("lo") + F.coalesce("hit", F.lit(0)) * width).cast("long").alias("lo"), F.coalesce("left", "need").cast("long").alias("need")),
+            state.join(found.hint("merge"), ["qb", "pos"], "left").select("qb", "pos", (F.col("lo") + F.coalesce("hit", F.lit(0)) * width).cast("long").alias("lo"), F.coalesce("left", "need").cast("long").alias("need")),
             "topk-state",
         )
         span = width
